@@ -1,0 +1,24 @@
+"""Temporary checks that the derived tables agree in both engines."""
+
+from pyspark.sql import functions as F
+
+from pagespark.catalog.registry import query
+from pagespark.fixtures.sql import CTES, with_tables
+
+
+def names(cols):
+    swap = {"l": "left", "t": "top", "r": "right", "b": "bottom"}
+    return cols
+
+
+for _n in ("words", "page_dims", "detections", "two_col", "fragments", "images", "paragraphs", "line_words", "lines", "layout_rows",
+           "samples", "emoji_samples", "files", "coverage", "source_words", "wide_words", "char_scores",
+           "script_scores", "batches", "page_paths", "link_graph", "link_list", "used", "recognised"):
+    def _make(n):
+        @query("fx_" + n, with_tables(f"SELECT * FROM {n}", n))
+        def q(t):
+            df = getattr(t, n)
+            for a, b in (("left", "l"), ("top", "t"), ("right", "r"), ("bottom", "b")):
+                df = df.withColumnRenamed(a, b)
+            return df.drop("page_id") if n == "samples" else df
+    _make(_n)
