@@ -17,7 +17,7 @@ PARAGRAPH_TAGS = (
     ("p", "dl"),
 )
 # Characters that part words.
-BLANKS = "  \t\n  "
+BLANKS = "\u0020\u00a0\t\n\r\u2003\u2002"
 # Elements that have no end tag.
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # Named entities the fast form decodes, the ampersand last.

@@ -78,10 +78,9 @@ def boxes_without_overlap(images: DataFrame, words: DataFrame, page: Sequence[st
 
 def adjacent_fragments(words: DataFrame, page: Sequence[str], threshold: float = 0.5) -> DataFrame:
     """Pairs where one box starts at the pixel the other ends at, on one row."""
-    other = words.select(*page, *[F.col(c).alias("o_" + c) for c in words.columns if c not in page])
-    same = [words[c] == other[c] for c in page]
-    pairs = words.join(other, same + [words["right"] == other["o_left"]])
-    pairs = pairs.select(*[words[c] for c in words.columns], *[other[c] for c in other.columns if c not in page])
+    other = words.select(*page, F.col("left").alias("_edge"),
+                         *[F.col(c).alias("o_" + c) for c in words.columns if c not in page])
+    pairs = words.withColumn("_edge", F.col("right")).join(other, [*page, "_edge"]).drop("_edge")
     fit = v_iou(Box.of(), Box.of("o_"))
     return pairs.withColumn("v_iou", fit).filter((F.col("v_iou") >= threshold) & (F.col("tag") != F.col("o_tag")))
 
