@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("geometry_q", "text_q", "joins_q", "tables_q")
+MODULES = ("geometry_q", "text_q", "joins_q", "tables_q", "structure_q")
 
 
 def load_all() -> None:

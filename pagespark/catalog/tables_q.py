@@ -568,7 +568,7 @@ def x10(t):
     return html.extract_links(t.read("pages"), "/", base="url")
 
 
-_ENTITY = "replace(replace(replace(replace(replace(replace(replace(text,'&nbsp;',' '),'&copy;','©'),'&lt;','<'),'&gt;','>'),'&quot;','\"'),'&#39;',''''),'&amp;','&')"
+_ENTITY = "replace(replace(replace(replace(replace(replace(replace(replace(text,'&nbsp;',' '),'&copy;','©'),'&middot;','·'),'&lt;','<'),'&gt;','>'),'&quot;','\"'),'&#39;',''''),'&amp;','&')"
 
 
 @query("x8_html_words", with_tables(f"""

@@ -107,7 +107,7 @@ def f12(t):
 
 _WORDS_CTE = """hw AS MATERIALIZED (SELECT page_id, unnest(ws) AS word, generate_subscripts(ws,1)-1 AS pos FROM (
   SELECT page_id, list_filter(regexp_split_to_array(
-    replace(replace(replace(replace(replace(replace(replace(text,'&nbsp;',' '),'&copy;','©'),'&lt;','<'),'&gt;','>'),'&quot;','"'),'&#39;',''''),'&amp;','&'),
+    replace(replace(replace(replace(replace(replace(replace(replace(text,'&nbsp;',' '),'&copy;','©'),'&middot;','·'),'&lt;','<'),'&gt;','>'),'&quot;','"'),'&#39;',''''),'&amp;','&'),
     '[ \\x{00A0}\\t\\n\\r\\x{2002}\\x{2003}]+'), lambda x: x <> '') AS ws FROM html_text))"""
 
 

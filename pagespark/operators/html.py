@@ -21,7 +21,7 @@ BLANKS = "\u0020\u00a0\t\n\r\u2003\u2002"
 # Elements that have no end tag.
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # Named entities the fast form decodes, the ampersand last.
-ENTITIES = {"&nbsp;": " ", "&copy;": "©", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+ENTITIES = {"&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 
 
 def html_text(html: Column) -> Column:
