@@ -7,7 +7,7 @@ from pagespark.catalog.registry import query
 from pagespark.catalog.support import LINE, PAGE, P, SIDES_SQL, area, big, envelope_aggs, inter, iou_1d, r6, total, v_iou
 from pagespark.fixtures.sql import h, u, with_tables
 from pagespark.fixtures.tables import SCRIPTS
-from pagespark.functions.boxes import SIDES, Box
+from pagespark.functions.boxes import SIDES, Box, downscale_factor
 from pagespark.functions.hashing import hash_pick
 from pagespark.functions.scores import contrast_stretch_array
 from pagespark.functions.text import accepts_language, concat_ordered
@@ -105,10 +105,10 @@ def p4_doubles(t):
 
 
 _ROWS_SQL = f"""joined AS MATERIALIZED (SELECT *, sum(starts) OVER (PARTITION BY {P}, par ORDER BY t, line_id) AS grp,
-    row_number() OVER (PARTITION BY {P}, par ORDER BY t, line_id) AS at FROM (
+    row_number() OVER (PARTITION BY {P}, par ORDER BY t, line_id) AS nth FROM (
     SELECT *, CASE WHEN {iou_1d('lag(t) OVER w', 'lag(b) OVER w', 't', 'b')} >= 0.8 THEN 0 ELSE 1 END AS starts
     FROM placed WHERE par IS NOT NULL WINDOW w AS (PARTITION BY {P}, par ORDER BY t, line_id))),
-  merged AS MATERIALIZED (SELECT {P}, par, grp, min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b, string_agg(text, ' ' ORDER BY l, at) AS text
+  merged AS MATERIALIZED (SELECT {P}, par, grp, min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b, string_agg(text, ' ' ORDER BY l, nth) AS text
     FROM joined GROUP BY ALL)"""
 _PLACED_SQL = f"""placed AS MATERIALIZED (SELECT a.*, (SELECT min(o.par) FROM paragraphs o WHERE {SAME} AND {inter('a.', 'o.')} >= 0.8::double * {area('a.')}) AS par FROM lines a)"""
 
@@ -119,8 +119,8 @@ def w3(t):
 
 
 @query("p11_paragraph_text", with_tables(f"""
-  SELECT {P}, string_agg(text, chr(10) ORDER BY kind, at) AS text FROM (
-    SELECT {P}, 0 AS kind, par AS at, string_agg(text, ' ' ORDER BY t, grp) AS text FROM merged GROUP BY {P}, par
+  SELECT {P}, string_agg(text, chr(10) ORDER BY kind, nth) AS text FROM (
+    SELECT {P}, 0 AS kind, par AS nth, string_agg(text, ' ' ORDER BY t, grp) AS text FROM merged GROUP BY {P}, par
     UNION ALL SELECT {P}, 1, line_id, text FROM placed WHERE par IS NULL) GROUP BY {P}""", "lines", "paragraphs", extra=_PLACED_SQL + ",\n" + _ROWS_SQL))
 def p11(t):
     return assemble.paragraph_text(t.lines, t.paragraphs, PAGE)
@@ -305,7 +305,6 @@ def t3(t):
 def p15(t):
     """The flagship: words found on the downscaled page, readings and scripts joined, page text."""
     dims = t.page_dims
-    from pagespark.functions.boxes import downscale_factor
     f = downscale_factor(F.col("scale_w"), F.col("scale_h"), 2000)
     down = lambda c: F.floor(c / F.col("_f")).cast("bigint")
     right = F.col("left") + 10 * F.length("word") - 9

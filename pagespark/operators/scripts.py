@@ -56,14 +56,12 @@ def script_scores(vectors: DataFrame, vector: str, weights: Mapping[str, tuple[S
         "flag", (F.col("score") > threshold).cast("bigint"))
 
 
-def bigrams(text: Column) -> Column:
-    starts = F.sequence(F.lit(1), F.length(text) - 1)
-    return F.when(F.length(text) > 1, F.transform(starts, lambda i: F.substring(text, i, F.lit(2)))).otherwise(
-        F.array().cast("array<string>"))
-
-
 def bigram_counts(texts: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    return texts.select(*keys, F.explode(bigrams(F.col(text))).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("n"))
+    """Two-letter sequences of each text, counted before anything is shuffled further."""
+    chars = texts.filter(F.length(text) > 1).select(*keys, F.split(text, "").alias("_c"))
+    n = F.size("_c") - 1
+    grams = F.zip_with(F.slice("_c", F.lit(1), n), F.slice("_c", F.lit(2), n), lambda x, y: F.concat(x, y))
+    return chars.select(*keys, F.explode(grams).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("n"))
 
 
 def language_scores(counts: DataFrame, key: str, model: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagespark.functions.boxes import SIDES, Box, overlap_1d
@@ -12,6 +12,7 @@ from pagespark.functions.text import concat_ordered
 from pagespark.operators.folds import paragraph_boxes, paragraph_runs, reading_bands, rerow_words, x_clusters
 from pagespark.operators.joins import lines_in_paragraph
 from pagespark.operators.suppress import resolve_overlaps
+from pagespark.session import written
 
 MARGIN = 15  # pixels between a header and the first line, or a footer and the last
 BAND_SHARE = 0.45
@@ -19,30 +20,32 @@ BAND_SHARE = 0.45
 
 def _move_to_band(placed: DataFrame, page: Sequence[str], role: str) -> DataFrame:
     """Lines of the body that share enough rows with the band of ``role`` join it."""
-    band = placed.filter((F.col("role") == role) & ~F.col("moved")).groupBy(*page).agg(
-        F.min("top").alias("_top"), F.max("bottom").alias("_bottom"))
+    on_page = Window.partitionBy(*page)
+    own = (F.col("role") == role) & ~F.col("moved")
+    top, bottom = F.min(F.when(own, F.col("top"))).over(on_page), F.max(F.when(own, F.col("bottom"))).over(on_page)
+    banded = placed.withColumn("_top", top).withColumn("_bottom", bottom)
     shared = overlap_1d(F.col("top"), F.col("bottom"), F.col("_top"), F.col("_bottom"))
-    moves = (F.col("role") == "body") & F.col("_top").isNotNull() & (
-        shared >= F.lit(BAND_SHARE) * (F.col("_bottom") - F.col("_top") + 1))
-    return placed.join(band, list(page), "left").withColumn("_moves", moves).withColumn(
-        "role", F.when(F.col("_moves"), role).otherwise(F.col("role"))).withColumn(
+    level = shared >= F.lit(BAND_SHARE) * (F.col("_bottom") - F.col("_top") + 1)
+    moves = (F.col("role") == "body") & F.coalesce(level, F.lit(False))
+    return banded.withColumn("_moves", moves).withColumn("role", F.when(F.col("_moves"), role).otherwise(F.col("role"))).withColumn(
         "moved", F.col("moved") | F.col("_moves")).drop("_top", "_bottom", "_moves")
 
 
 def headers_footers(lines: DataFrame, paragraphs: DataFrame, page: Sequence[str], line: str, compat: bool = False) -> DataFrame:
     """Lines with their paragraph and role (header, footer, body). A paragraph of a single
     line near the first line's top is a header, near the last one's a footer; with
-    ``compat`` any other single line is a footer. Body lines level with a band join it."""
-    inside = lines_in_paragraph(lines.select(*page, line, *SIDES), paragraphs.select(*page, "par", *SIDES), page)
-    placed = inside.select(*page, line, *SIDES, F.col("o_par").alias("par"), F.col("o_left").alias("par_left"))
-    sizes = placed.groupBy(*page, "par").agg(F.count("*").alias("_n"))
-    ends = lines.groupBy(*page).agg(F.min("top").alias("_first"), F.max("top").alias("_last"))
+    ``compat`` any other single line is a footer. Body lines level with a band join it.
+    Lines move to their page's partition once; all counts and bands are windows there."""
+    on_page = Window.partitionBy(*page)
+    ended = lines.select(*page, line, *SIDES, F.min("top").over(on_page).alias("_first"), F.max("top").over(on_page).alias("_last"))
+    inside = lines_in_paragraph(ended, paragraphs.select(*page, "par", *SIDES), page)
+    placed = inside.select(*page, line, *SIDES, "_first", "_last", F.col("o_par").alias("par"), F.col("o_left").alias("par_left"))
+    sized = placed.repartition(*page).withColumn("_n", F.count("*").over(Window.partitionBy(*page, "par")))
     single = F.col("_n") == 1
     at_foot = F.lit(True) if compat else F.col("_last") - F.col("top") <= MARGIN
     role = (F.when(single & (F.col("top") - F.col("_first") <= MARGIN), "header")
             .when(single & at_foot, "footer").otherwise("body"))
-    marked = placed.join(sizes, [*page, "par"]).join(ends, list(page)).withColumn("role", role).withColumn(
-        "moved", F.lit(False)).drop("_n", "_first", "_last")
+    marked = sized.withColumn("role", role).withColumn("moved", F.lit(False)).drop("_n", "_first", "_last")
     return _move_to_band(_move_to_band(marked, page, "header"), page, "footer")
 
 
@@ -52,7 +55,7 @@ def layout_blocks(lines: DataFrame, words: DataFrame, page: Sequence[str], line:
     boxes and texts, ``words`` boxes and texts with the line they are in."""
     clusters = x_clusters(lines, page, line)
     paragraphs = paragraph_boxes(lines, clusters, page)
-    placed = headers_footers(lines, paragraphs, page, line, compat)
+    placed = written(headers_footers(lines, paragraphs, page, line, compat), "placed")
 
     body = placed.filter(F.col("role") == "body").select(*page, line, "par", "par_left")
     body_words = words.select(*page, line, key, *SIDES, "text").join(body, [*page, line])
