@@ -11,7 +11,7 @@ from pagespark.functions.boxes import Box
 from pagespark.functions.text import Language, build_language, decode, encode, normalize
 from pagespark.operators import graph, order as O, sampling as N, splits as S
 from pagespark.operators.joins import box_join
-from pagespark.session import scratch_path
+from pagespark.session import scratch_path, scratch_root
 from pagespark.sources import coco, samples as SRC, shards
 
 BOX = "left bigint, top bigint, right bigint, bottom bigint"
@@ -184,10 +184,15 @@ def test_exports(spark, tmp_path):
     assert document["images"][0]["id"] == 1 and document["annotations"][0]["text"] == "x"
 
 
-def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+def session_like(master, named=None, current=None):
+    from types import SimpleNamespace as Like
+    return Like(conf=Like(get=lambda key, default: named if key == "spark.checkpoint.dir" else default),
+                sparkContext=Like(master=master, getCheckpointDir=lambda: current))
+
+
+def test_scratch_folder_is_the_one_the_session_names(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
-    spark.conf.set("spark.checkpoint.dir", "/tmp/named-by-the-session")
-    try:
-        assert scratch_path(spark, "x").startswith("/tmp/named-by-the-session")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    assert scratch_root(session_like("spark://host", named="s3a://shared/tmp")) == "s3a://shared/tmp"
+    assert scratch_root(session_like("spark://host", current="hdfs:/tmp/a")) == "hdfs:/tmp/a"
+    with pytest.raises(RuntimeError):
+        scratch_root(session_like("spark://host"))
