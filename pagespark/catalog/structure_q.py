@@ -42,10 +42,7 @@ def spread_words(t):
     {h("concat('g|',doc_id,'|',page_no,'|',row_no)")} % 12 THEN 30 ELSE 0 END AS dx FROM words))"""))
 def p1(t):
     """The oracle uses that rows of the derived pages never touch."""
-    words = spread_words(t)
-    linked = link_lines(words, PAGE)
-    texts = linked.join(words.select("tag", "word"), "tag")
-    return texts.groupBy(*PAGE, "line").agg(*envelope_aggs(), F.count("*").alias("n"),
+    return link_lines(spread_words(t), PAGE).groupBy(*PAGE, "line").agg(*envelope_aggs(), F.count("*").alias("n"),
                                             concat_ordered([F.col("left")], F.col("word"), " ").alias("text")).drop("line")
 
 

@@ -261,7 +261,8 @@ class Tables:
             F.when((i > 0) & (c == F.get("chars", i - 1)), F.array(big(26))).otherwise(F.array().cast("array<bigint>")),
             F.array_repeat(big(F.ascii(c) - 97), 1 + hash_pick(2, "q", F.col("tag"), i.cast("string")).cast("int")),
         )))
-        row = lambda k: F.transform(F.sequence(big(0), big(26)), lambda j: F.when(j == k, 0.9).otherwise(0.01))
+        low = lambda n: F.array_repeat(F.lit(0.01), n.cast("int"))
+        row = lambda k: F.concat(low(k), F.array(F.lit(0.9)), low(26 - k))
         return lower.select("tag", "word", F.transform(steps, row).alias("scores"))
 
     @cached_property

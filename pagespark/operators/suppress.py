@@ -5,36 +5,36 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagespark.functions.boxes import SIDES, Box, min_area, min_side
 from pagespark.operators.joins import suppression_pairs
+from pagespark.operators.pages import by_page, group_starts, numbers, spans
 
 
-def _losers(pairs: pd.DataFrame) -> list:
+def _losers(keys: list, others: list, areas: np.ndarray, other_areas: np.ndarray) -> dict:
     """Boxes visited in key order; each still there meets its partners in key order: a
-    smaller partner goes, a partner at least as large makes the visited one go."""
+    smaller partner goes, a partner at least as large makes the visited one go. Each
+    box that goes is given with a pair it is in: (row, whether it is the first)."""
     partners: dict = {}
-    areas: dict = {}
-    for a, b, area_a, area_b in zip(pairs["key"], pairs["other"], pairs["area"], pairs["other_area"]):
-        partners.setdefault(a, []).append(b)
-        partners.setdefault(b, []).append(a)
-        areas[a], areas[b] = area_a, area_b
-    gone: set = set()
+    for row, (a, b) in enumerate(zip(keys, others)):
+        partners.setdefault(a, []).append((b, row, areas[row], other_areas[row]))
+        partners.setdefault(b, []).append((a, row, other_areas[row], areas[row]))
+    gone: dict = {}
     for box in sorted(partners):
         if box in gone:
             continue
-        for other in sorted(partners[box]):
+        for other, row, own_area, other_area in sorted(partners[box]):
             if other in gone:
                 continue
-            if areas[box] > areas[other]:
-                gone.add(other)
+            if own_area > other_area:
+                gone[other] = row
             else:
-                gone.add(box)
+                gone[box] = row
                 break
-    return sorted(gone)
+    return gone
 
 
 def suppress_overlaps(boxes: DataFrame, page: Sequence[str], key: str, threshold: float = 0.5) -> DataFrame:
@@ -43,18 +43,20 @@ def suppress_overlaps(boxes: DataFrame, page: Sequence[str], key: str, threshold
     a, b = Box.of(), Box.of("o_")
     pairs = suppression_pairs(boxes.select(*page, key, *SIDES), page, key, threshold).select(
         *page, F.col(key).alias("key"), F.col("o_" + key).alias("other"), a.area.alias("area"), b.area.alias("other_area"))
-    kind = {f.name: f.dataType.simpleString() for f in boxes.schema.fields}
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        gone = _losers(group)
-        out = pd.DataFrame({key: gone})
-        for c in reversed(page):
-            out.insert(0, c, group[c].iloc[0])
-        return out
-
-    schema = ", ".join(f"{c} {kind[c]}" for c in (*page, key))
-    gone = pairs.groupBy(*page).applyInPandas(run, schema)
-    return boxes.join(gone, [*page, key], "left_anti")
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        keys, others = table["key"].to_pylist(), table["other"].to_pylist()
+        areas, other_areas = numbers(table, "area", "other_area")
+        rows, names = [], []
+        for start, end in spans(starts, table.num_rows):
+            gone = _losers(keys[start:end], others[start:end], areas[start:end], other_areas[start:end])
+            names += gone
+            rows += [start + row for row in gone.values()]
+        out = table.select(list(page)).take(pa.array(rows, pa.int64()))
+        return out.append_column("key", pa.array(names, table.schema.field("key").type))
+
+    kind = boxes.schema[key].dataType.simpleString()
+    gone = by_page(pairs, page, page, ["key", "other"], run, f"key {kind}", keep=page)
+    return boxes.join(gone.withColumnRenamed("key", key), [*page, key], "left_anti")
 
 
 DECISIONS = {
@@ -133,33 +135,36 @@ def resolve_overlaps(words: DataFrame, page: Sequence[str], paragraph: str, orde
     parts from another. Takes words with their paragraph; returns the words that are left
     with ``par``, the paragraph's new place. ``compat`` measures containment by IoU
     against an area, as only boxes of about a pixel can meet."""
-    columns = [*page, "par", order, *SIDES]
-    kind = {f.name: f.dataType.simpleString() for f in words.schema.fields} | {"par": "bigint"}
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([paragraph, order]).reset_index(drop=True)
-        boxes = group[list(SIDES)].to_numpy()
-        parts = [rows.to_numpy() for _, rows in group.index.to_series().groupby(group[paragraph], sort=True)]
-        for _ in range(rounds):
-            changed = _one_round(parts, boxes, compat)
-            if changed is None:
-                break
-            parts = changed
-        if not parts:
-            return pd.DataFrame(columns=columns)
-        out = group.iloc[np.concatenate(parts)].copy()
-        out["par"] = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        return out[columns]
-
-    schema = ", ".join(f"{c} {kind[c]}" for c in columns)
-    return words.select(*page, paragraph, order, *SIDES).groupBy(*page).applyInPandas(run, schema)
-
 
-def _components(left: np.ndarray, top: np.ndarray, right: np.ndarray, bottom: np.ndarray, gap: int) -> np.ndarray:
-    """Component label of each box; boxes are sorted by top. A box is compared with those
-    that start no lower than just under it."""
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        boxes = np.stack(numbers(table, *SIDES), axis=1)
+        begins = group_starts(table, [*page, paragraph])
+        rows, places = [], []
+        for start, end in spans(starts, table.num_rows):
+            inner = begins[(begins >= start) & (begins < end)]
+            parts = [np.arange(a, b) for a, b in zip(inner, np.append(inner[1:], end))]
+            for _ in range(rounds):
+                changed = _one_round(parts, boxes, compat)
+                if changed is None:
+                    break
+                parts = changed
+            rows += parts
+            places += [np.full(len(p), i) for i, p in enumerate(parts)]
+        flat = lambda arrays: np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.int64)
+        out = table.select([*page, order, *SIDES]).take(pa.array(flat(rows)))
+        return out.append_column("par", pa.array(flat(places), pa.int64()))
+
+    slim = words.select(*page, paragraph, order, *SIDES)
+    return by_page(slim, page, page, [paragraph, order], run, "par bigint", keep=[*page, order, *SIDES])
+
+
+def _components(page: np.ndarray, left: np.ndarray, top: np.ndarray, right: np.ndarray, bottom: np.ndarray,
+                gap: int) -> np.ndarray:
+    """Component label of each box; boxes are sorted by page and top. A box is compared
+    with those that start no lower than just under it; pages are set apart by a shift."""
     n = len(top)
-    ends = np.searchsorted(top, bottom + 1, side="right")
+    shift = page * (int(max(bottom.max(), top.max()) - min(top.min(), bottom.min())) + 3)
+    ends = np.searchsorted(top + shift, bottom + shift + 1, side="right")
     counts = np.maximum(ends - np.arange(n) - 1, 0)
     a = np.repeat(np.arange(n), counts)
     b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -178,14 +183,14 @@ def _components(left: np.ndarray, top: np.ndarray, right: np.ndarray, bottom: np
 def link_lines(words: DataFrame, page: Sequence[str], key: str = "tag", gap: int = 20) -> DataFrame:
     """Words linked to lines: boxes at most ``gap`` pixels apart on touching rows are one
     line. Adds ``line``, numbered from the top of the page."""
-    columns = [*page, "line", key, *SIDES]
-    kind = {f.name: f.dataType.simpleString() for f in words.schema.fields} | {"line": "bigint"}
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["top", "left", key]).reset_index(drop=True)
-        labels = _components(*(group[s].to_numpy() for s in SIDES), gap)
-        group["line"] = np.unique(labels, return_inverse=True)[1]
-        return group[columns]
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        n = table.num_rows
+        page_no = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+        labels = _components(page_no, *numbers(table, *SIDES), gap)
+        firsts, line = np.unique(labels, return_inverse=True)
+        before = np.searchsorted(firsts, starts)  # lines on the pages before
+        return table.append_column("line", pa.array(line - before[page_no], pa.int64()))
 
-    schema = ", ".join(f"{c} {kind[c]}" for c in columns)
-    return words.select(*page, key, *SIDES).groupBy(*page).applyInPandas(run, schema)
+    slim = words.select(*page, *[c for c in words.columns if c not in page])
+    return by_page(slim, page, page, ["top", "left", key], run, "line bigint")
