@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagespark.functions.boxes import SIDES, Box, covers_share, inter_area, iou, v_iou
 
-TILE = (512, 48)  # pixels across and down; a few words wide, about two rows high
+TILE = (256, 32)  # pixels across and down: a few words wide, one or two rows high
 
 
 def _tiles(df: DataFrame, box: Box, tile: tuple[int, int]) -> DataFrame:

@@ -67,11 +67,17 @@ def global_ids(df: DataFrame, group: Sequence[str], order: Sequence[str | Column
 
 
 def numbered_in(df: DataFrame, group: Sequence[str], order: Sequence[str], column: str = "pos") -> DataFrame:
-    """Dense ids that restart in each group; a group may be of any size, since its
-    rows lie in consecutive range partitions."""
-    ids = numbered(df, [*group, *order], "_id")
-    firsts = ids.groupBy(*group).agg(F.min("_id").alias("_first"))
-    return ids.join(firsts, list(group)).withColumn(column, F.col("_id") - F.col("_first")).drop("_id", "_first")
+    """Dense ids that restart in each group; a group may be of any size, since its rows
+    lie in consecutive range partitions and meet their group's first id by partition."""
+    placed = range_placed(df, [*group, *order])
+    parts = placed.groupBy(*group, "_part").agg(F.count("*").alias("_n"), F.min("_place").alias("_least"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_least")
+    offsets = parts.select(*group, "_part", before.alias("_before"))
+    return (
+        placed.join(offsets, [*group, "_part"])
+        .withColumn(column, (F.col("_before") + F.col("_place")).cast("bigint")).drop("_part", "_place", "_before")
+    )
 
 
 def running_best(df: DataFrame, group: Sequence[str], order: Sequence[str], metric: str, mode: str = "min",
