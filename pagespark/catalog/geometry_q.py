@@ -24,7 +24,7 @@ PAIRS_SQL = """(SELECT w.*, i.l AS ol, i.t AS ot, i.r AS ore, i.b AS ob FROM wor
 
 
 @query("g1_box_forms", with_tables(
-    f"SELECT {P}, sum(l) AS s_left, sum(t) AS s_top, sum(r) AS s_right, sum(b) AS s_bottom FROM words GROUP BY ALL", "words"))
+    f"SELECT {P}, sum(l)::bigint AS s_left, sum(t)::bigint AS s_top, sum(r)::bigint AS s_right, sum(b)::bigint AS s_bottom FROM words GROUP BY ALL", "words"))
 def g1(t):
     """Boxes through struct and array form and back."""
     nested = t.words.select(*PAGE, Box.of().array().alias("arr"))

@@ -209,7 +209,7 @@ def s8(t):
         "language", F.lit(settings["language"]))
 
 
-_COCO_ROWS = """ann AS MATERIALIZED (SELECT doc_id, page_no, 1 AS category_id, tag, l, t, r, b, word AS text FROM words
+_COCO_ROWS = """ann AS MATERIALIZED (SELECT doc_id, page_no, 1::bigint AS category_id, tag, l, t, r, b, word AS text FROM words
   UNION ALL SELECT doc_id, page_no, 2, tag, l, t, r, b, NULL FROM images),
 img AS MATERIALIZED (SELECT doc_id, page_no, row_number() OVER (ORDER BY doc_id, page_no) AS image_id, w, h FROM page_dims)"""
 
@@ -436,7 +436,7 @@ def _augment_sql() -> str:
         "add_texture_background_to_image": " AND NOT perspective_transformation AND NOT add_natural_background_to_image",
     }
     rows = " UNION ALL ".join(
-        f"SELECT doc_id, '{n}' AS transform, {STEPS[n]} AS step FROM drawn WHERE {n}{rule.get(n, '')}" for n in AUGMENT)
+        f"SELECT doc_id, '{n}' AS transform, {STEPS[n]}::bigint AS step FROM drawn WHERE {n}{rule.get(n, '')}" for n in AUGMENT)
     return with_tables(f"SELECT doc_id, transform, step, count(*) AS samples FROM ({rows}) GROUP BY ALL", "samples",
                        extra=f"drawn AS MATERIALIZED (SELECT doc_id, {drawn} FROM samples)")
 

@@ -41,7 +41,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::bigint AS l
             FROM tok)"""),
     "page_dims": (("words",), f"""
-      SELECT doc_id, page_no, w, 1240 AS h, 300 + {h(f"concat('s|',{PK})")} % 9000 AS scale_w,
+      SELECT doc_id, page_no, w, 1240::bigint AS h, 300 + {h(f"concat('s|',{PK})")} % 9000 AS scale_w,
              300 + {h(f"concat('t|',{PK})")} % 9000 AS scale_h
       FROM (SELECT doc_id, page_no, max(r)+1 AS w FROM words GROUP BY ALL)"""),
     "detections": (("words",), f"""
@@ -74,7 +74,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
              string_agg(word, ' ' ORDER BY l, tag) AS text
       FROM line_words GROUP BY doc_id, page_no, row_no, piece"""),
     "layout_rows": (("page_dims", "paragraphs", "words"), f"""
-      SELECT doc_id, page_no, 2 AS level, 0 AS block_num, 0 AS par_num, 0 AS l, 0 AS t, w AS width, h AS height, NULL AS text FROM page_dims
+      SELECT doc_id, page_no, 2::bigint AS level, 0::bigint AS block_num, 0::bigint AS par_num, 0::bigint AS l, 0::bigint AS t, w AS width, h AS height, NULL AS text FROM page_dims
       UNION ALL SELECT doc_id, page_no, 3, 0, par, l, t, r-l, b-t, NULL FROM paragraphs
       UNION ALL SELECT doc_id, page_no, 5, 0, row_no//5, l, t, r-l, b-t,
              CASE WHEN {h("concat('b|',tag)")} % 4 = 0 THEN '  ' ELSE word END FROM words"""),
@@ -82,7 +82,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
       SELECT w.doc_id, w.lang, w.tag, w.word AS text,
              CASE WHEN {h("concat('r|',w.tag)")} % 10 = 0 THEN 'rtl' ELSE 'ltr' END AS direction,
              CASE {h("concat('o|',w.tag)")} % 20 WHEN 1 THEN true WHEN 2 THEN NULL ELSE false END AS rotated,
-             14 AS h, 10*length(w.word) AS w, concat(w.tag,'.png') AS file, concat(w.tag,'_mask.png') AS mask, p.url
+             14::bigint AS h, 10*length(w.word) AS w, concat(w.tag,'.png') AS file, concat(w.tag,'_mask.png') AS mask, p.url
       FROM words w LEFT JOIN pages p ON p.page_id = w.doc_id % (SELECT count(*) FROM pages)"""),
     "emoji_samples": (("words",), f"""
       SELECT doc_id, page_no, tag, concat(word, CASE WHEN {h("concat('e|',tag)")} % 50 = 0 THEN chr(128512) ELSE '' END) AS text FROM words"""),
@@ -96,7 +96,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "dictionary": (("source_words",), """
       SELECT source, word, row_number() OVER (PARTITION BY source ORDER BY word) - 1 AS pos FROM source_words"""),
     "wide_words": (("words",), f"""
-      SELECT doc_id, page_no, tag, word, 14 AS h, 10*length(word)*(1+{h("concat('w|',tag)")}%40) AS w FROM words"""),
+      SELECT doc_id, page_no, tag, word, 14::bigint AS h, 10*length(word)*(1+{h("concat('w|',tag)")}%40) AS w FROM words"""),
     "char_scores": (("words",), f"""
       SELECT tag, word, list_transform(steps, lambda k: list_transform(range(0,27), lambda j: CASE WHEN j = k THEN 0.9::double ELSE 0.01::double END)) AS scores
       FROM (SELECT tag, word, flatten(list_transform(range(1, length(word)+1), lambda i: list_concat(
