@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from pagespark.functions.boxes import SIDES, Box, covers_share, inter_area, iou, v_iou
 
+# Joins of two tables that both grow with the words are asked to be sort-merge joins:
+# Spark's size estimate does not see how many rows an explode makes, so it could
+# choose to broadcast one. Skewed partitions of such joins are split at run time.
+GROWING = "merge"
 TILE = (256, 32)  # pixels across and down: a few words wide, one or two rows high
 
 
@@ -42,7 +46,7 @@ def box_join(left: DataFrame, right: DataFrame, page: Sequence[str], where: Colu
     corner = a.intersection(b)
     own_tile = (F.floor(corner.left / tile[0]) == F.col("_tx")) & (F.floor(corner.top / tile[1]) == F.col("_ty"))
     return (
-        _tiles(left, a, tile).join(_tiles(other, b, tile), [*page, "_tx", "_ty"])
+        _tiles(left, a, tile).join(_tiles(other, b, tile).hint(GROWING), [*page, "_tx", "_ty"])
         .filter(own_tile & keep).drop("_tx", "_ty")
     )
 
@@ -53,7 +57,7 @@ def assign_first(lines: DataFrame, paragraphs: DataFrame, page: Sequence[str], l
     slim = lines.select(*page, *[c for c in line if c not in page], *SIDES)
     pairs = box_join(slim, paragraphs.select(*page, order, *SIDES), page, covers_share(Box.of("o_"), Box.of(), share))
     first = pairs.groupBy(*line).agg(F.min("o_" + order).alias(order))
-    return lines.join(first, list(line), "left")
+    return lines.join(first.hint(GROWING), list(line), "left")
 
 
 def lines_in_paragraph(lines: DataFrame, paragraphs: DataFrame, page: Sequence[str], share: float = 0.9) -> DataFrame:
@@ -80,7 +84,7 @@ def adjacent_fragments(words: DataFrame, page: Sequence[str], threshold: float =
     """Pairs where one box starts at the pixel the other ends at, on one row."""
     other = words.select(*page, F.col("left").alias("_edge"),
                          *[F.col(c).alias("o_" + c) for c in words.columns if c not in page])
-    pairs = words.withColumn("_edge", F.col("right")).join(other, [*page, "_edge"]).drop("_edge")
+    pairs = words.withColumn("_edge", F.col("right")).join(other.hint(GROWING), [*page, "_edge"]).drop("_edge")
     fit = v_iou(Box.of(), Box.of("o_"))
     return pairs.withColumn("v_iou", fit).filter((F.col("v_iou") >= threshold) & (F.col("tag") != F.col("o_tag")))
 
@@ -107,7 +111,7 @@ def recognition_samples(words: DataFrame, changed: DataFrame, key: Sequence[str]
 
 def attach_text(words: DataFrame, texts: DataFrame, key: Sequence[str]) -> DataFrame:
     """Readings joined to their words by key, never by position."""
-    return words.join(texts, list(key), "left")
+    return words.join(texts.hint(GROWING), list(key), "left")
 
 
 def pick_text(texts: DataFrame, scripts: DataFrame | None, key: Sequence[str], only: str | None = None) -> DataFrame:
@@ -116,7 +120,7 @@ def pick_text(texts: DataFrame, scripts: DataFrame | None, key: Sequence[str], o
     if scripts is None:
         return texts.filter(F.col("recogniser") == only).withColumnRenamed("recogniser", "script")
     chosen = scripts.select(*key, F.col("script").alias("recogniser"))
-    return texts.join(chosen, [*key, "recogniser"]).withColumnRenamed("recogniser", "script")
+    return texts.join(chosen.hint(GROWING), [*key, "recogniser"]).withColumnRenamed("recogniser", "script")
 
 
 def covers_charset(coverage: DataFrame, item: str, char: str, required: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagespark.functions.hashing import hash_int, hash_pick, hash_unit
 from pagespark.functions.text import Language, accepts, clean_text, max_length
+from pagespark.operators.joins import GROWING
 from pagespark.operators.order import row_total
 from pagespark.operators.splits import cycle_to
 from pagespark.session import written
@@ -135,7 +136,7 @@ def replace_words(words: DataFrame, page: Sequence[str], order: Sequence[str], k
     drawn = weighted_draw(slots, [*page, "_turn"], weights, members, seed + "-pool")
     new = drawn.select(key, F.col("word").alias("_new"))
     return (
-        marked.drop("_chosen").join(new, key, "left")
+        marked.drop("_chosen").join(new.hint(GROWING), key, "left")
         .withColumn("replaced", F.col("_new").isNotNull()).withColumn("word", F.coalesce("_new", "word")).drop("_new")
     )
 
