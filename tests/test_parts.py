@@ -10,6 +10,7 @@ from pagespark.functions import boxes as B
 from pagespark.functions.boxes import Box
 from pagespark.functions.text import Language, build_language, decode, encode, normalize
 from pagespark.operators import graph, order as O, sampling as N, splits as S
+from pagespark.operators.html import html_nodes, paragraph_of
 from pagespark.operators.joins import box_join
 from pagespark.session import scratch_path, scratch_root
 from pagespark.sources import coco, samples as SRC, shards
@@ -196,3 +197,12 @@ def test_scratch_folder_is_the_one_the_session_names(spark):
     assert scratch_root(session_like("spark://host", current="hdfs:/tmp/a")) == "hdfs:/tmp/a"
     with pytest.raises(RuntimeError):
         scratch_root(session_like("spark://host"))
+
+
+def test_nearest_paragraph_element(spark):
+    html = "<html><head><title>no</title></head><body><ul><li>a <b>b&nbsp;c</b></li></ul><dl>d</dl><div>e<script>x</script></div><p><i>f</i></p></body></html>"
+    df = spark.createDataFrame([(1, html)], "page_id bigint, html string")
+    got = [(r.word, r.pos, r.tag, r.paragraph_tag) for r in html_nodes(df).orderBy("pos").collect()]
+    assert got == [("a", 0, "li", "li"), ("b", 1, "b", "li"), ("c", 2, "b", "li"), ("d", 3, "dl", "dl"), ("e", 4, "div", "div"), ("f", 5, "i", "p")]
+    spans = {r.paragraph_tag: (r.words, r.first, r.last) for r in paragraph_of(df).collect()}
+    assert spans == {"li": (3, 0, 2), "dl": (1, 3, 3), "div": (1, 4, 4), "p": (1, 5, 5)}
