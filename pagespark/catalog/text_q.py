@@ -9,7 +9,7 @@ from pagespark.fixtures.sql import h, with_tables
 from pagespark.functions.scores import argmax_steps
 from pagespark.functions.text import (accepts, accepts_language, clean_text, decode, encode, max_length, no_emoji,
                                       no_icon_class, normalize)
-from pagespark.operators.filters import (clean_failures, drop_empty_files, pages_without_emoji, restyle_eligible,
+from pagespark.operators.filters import (charset_union, clean_failures, drop_empty_files, pages_without_emoji, restyle_eligible,
                                          sample_view, same_direction, select_datasets, stable_pages, unrotated)
 from pagespark.operators.html import html_words
 
@@ -189,3 +189,11 @@ def x4(t):
 def x11(t):
     words = F.concat(F.array(F.lit("{|"), F.lit("|}")), F.split("text", " "))
     return t.documents.select("doc_id", clean_text(words).alias("text"))
+
+
+@query("u3_charset_union", """
+  SELECT DISTINCT char FROM (SELECT unnest(string_split(text, '')) AS char FROM documents WHERE lang IN ('de', 'fr') AND length(text) > 0)""")
+def u3(t):
+    """Charset of the German and the French documents together."""
+    chars = t.documents.filter(F.length("text") > 0).select("lang", F.explode(F.array_distinct(F.split("text", ""))).alias("char"))
+    return charset_union([chars.filter(F.col("lang") == lang) for lang in ("de", "fr")])

@@ -91,3 +91,11 @@ def clean_failures(files: DataFrame, sample: str = "sample", label_file: str | N
 
 def drop_empty_files(files: DataFrame) -> DataFrame:
     return files.filter(F.col("length") > 0)
+
+
+def charset_union(charsets: Sequence[DataFrame], char: str = "char") -> DataFrame:
+    """Characters of any of the charsets, each once."""
+    whole = charsets[0].select(char)
+    for charset in charsets[1:]:
+        whole = whole.unionByName(charset.select(char))
+    return whole.distinct()
