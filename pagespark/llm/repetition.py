@@ -1,7 +1,7 @@
 """Quality rules: how much of a text lies inside repeated lines and repeated n-grams.
 
 Rolling hashes of each n-gram length are compared inside each text, and the characters of
-every n-gram that occurs twice or more are marked; a rule per length bounds the share of
+every n-gram that stood earlier in the text are marked; a rule per length bounds the share of
 marked characters. All of it is numpy over many whole texts at once.
 
 Defined results: a null text is an empty one, with all counts zero and too few words to keep;
@@ -52,14 +52,16 @@ def _repeats(hashes: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return twice, later
 
 
-def _covered(firsts: np.ndarray, hashes: np.ndarray, texts: np.ndarray, size: int) -> np.ndarray:
-    """Whether each word lies in a window of `size` words that its text holds twice or more."""
+def _covered(firsts: np.ndarray, hashes: np.ndarray, texts: np.ndarray, size: int, first_too: bool = False) -> np.ndarray:
+    """Whether each word lies in a window of `size` words that its text held before, or, with
+    ``first_too``, holds twice or more."""
     n = len(hashes)
     at = inside_windows(firsts, size)
-    twice, _ = _repeats(window_hashes(hashes, size)[at], texts[at])
+    twice, later = _repeats(window_hashes(hashes, size)[at], texts[at])
+    at = at[twice if first_too else later]
     edge = np.zeros(n + 1, dtype=np.int32)
-    edge[at[twice]] += 1
-    edge[at[twice] + size] -= 1
+    edge[at] += 1
+    edge[at + size] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -91,7 +93,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     whole = np.maximum(word_chars, 1)
     shares = [chars_in(np.cumsum(in_line[:-1]) > 0) / whole]
     shares += [chars_in(_covered(firsts, hashes, texts, n)) / whole for n in NGRAM_SHARES]
-    repeat_words = _per_text(_covered(firsts, hashes, texts, 3), firsts)
+    repeat_words = _per_text(_covered(firsts, hashes, texts, 3, first_too=True), firsts)
     return [np.diff(firsts), word_chars, _per_text(SYMBOL[data], offsets), dup_lines, repeat_words, *shares]
 
 

@@ -199,10 +199,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = TRAIN_ROW
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """lang_pred, score, n_words and n_switches of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    # plain arrays, so that a worker needs no module of this library to read them
+    sent = docs.sparkSession.sparkContext.broadcast(model and (model.languages, model.table, model.transition))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = sent.value and Model(*sent.value)
         for batch in batches:
             for first, end, data, offsets in text_chunks(batch, limit=6 << 20):
                 n = end - first

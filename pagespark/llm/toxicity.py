@@ -29,9 +29,10 @@ from pagespark.llm.textbytes import LOWER, find_words, owners, span_hashes, text
 SAMPLE = 20_000  # labelled rows learned from
 FEATURES = 20_000  # features that may get a weight
 THRESHOLD = 0.3
-LEAST_TOXIC, LEAST_LIFT = 3, 3.0  # a feature's toxic rows, and its rate in toxic rows against all rows
+LEAST_TOXIC, LEAST_SHARE = 3, 0.01  # a feature's toxic rows: so many, and this share of all toxic rows
+LEAST_PRECISION = 0.6  # share of a feature's rows that are toxic
 RIDGE, SWAP_PENALTY, STEPS = 1e-3, 10.0, 300
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 
 # Terms that name groups of people; terms of one row may stand for one another.
 IDENTITY_TERMS = (
@@ -201,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
 
     # Counts over rows with no toxic one among them matter only for features met in toxic rows elsewhere.
     toxic_features = known.filter("toxic > 0").mapInArrow(seen, SEEN_DDL).groupBy("feature").agg(F.sum("toxic").alias("toxic"))
-    frequent = toxic_features.filter(F.col("toxic") >= min(LEAST_TOXIC, totals["toxic"]))
+    frequent = toxic_features.filter(F.col("toxic") >= min(max(LEAST_TOXIC, int(LEAST_SHARE * totals["toxic"])), totals["toxic"]))
     top = frequent.orderBy(F.desc("toxic"), "feature").limit(8 * features).collect()  # bounded
     candidates = np.sort(np.array([r["feature"] for r in top], dtype=np.int64))
     sent = docs.sparkSession.sparkContext.broadcast(candidates)
@@ -226,8 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     learned = known.mapInArrow(rows, ROWS_DDL)
     counts = learned.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(
         F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
-    share = totals["toxic"] / totals["n"]
-    lifted = counts.filter((F.col("toxic") / F.col("n")) >= F.lit(min(LEAST_LIFT * share, 0.5 + share / 2)))
+    lifted = counts.filter((F.col("toxic") / F.col("n")) >= LEAST_PRECISION)
     best = lifted.orderBy(F.desc(F.col("toxic") * F.col("toxic") / F.col("n")), "feature").limit(features).collect()
     chosen = np.sort(np.array([r["feature"] for r in best], dtype=np.int64))
     kept = docs.sparkSession.sparkContext.broadcast(chosen)
