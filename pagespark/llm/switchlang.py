@@ -205,7 +205,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value and Model(*sent.value)
         for batch in batches:
-            for first, end, data, offsets in text_chunks(batch, limit=6 << 20):
+            for first, end, data, offsets in text_chunks(batch, limit=3 << 20):
                 n = end - first
                 if model is None:
                     columns = [[UNKNOWN] * n, np.zeros(n), np.zeros(n, int), np.zeros(n, int)]

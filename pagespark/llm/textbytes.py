@@ -14,7 +14,7 @@ import pyarrow as pa
 U64 = np.uint64
 PRIME = 0x9E3779B97F4A7C15  # odd, so multiplication mod 2**64 is invertible
 STEP = 0xD6E8FEB86659FD93
-CHUNK_BYTES = 4 << 20  # texts handled together; a longer text is handled alone
+CHUNK_BYTES = 1 << 20  # texts handled together; a longer text is handled alone
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -30,14 +30,14 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text",
                 limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of runs of rows; limit bounds a run unless it is one row."""
     texts = batch.column(batch.schema.get_field_index(column))
-    texts = texts.cast(pa.large_string())
     if texts.null_count:
         texts = texts.fill_null("")
     n = len(texts)
     if not n:
         return
     _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, dtype=np.int64)[texts.offset:texts.offset + n + 1]
+    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(offsets, dtype=width)[texts.offset:texts.offset + n + 1].astype(np.int64)
     data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     first = 0
     while first < n:
