@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pagespark.llm.textbytes import text_chunks
 
 MARK = "▁"
-CACHE = 300_000  # cuts held by a task; beyond it the cache starts afresh
+CACHE = 100_000  # cuts held by a task; beyond it the cache starts afresh
 DDL = "doc_id bigint, ids array<int>, starts array<int>, stops array<int>, decoded string"
 
 

@@ -19,6 +19,7 @@ from pagespark.llm import styletree as S
 from pagespark.llm import switchlang as L
 from pagespark.llm import toxicity as T
 from pagespark.llm.folds import held_out
+from pagespark.llm.textbytes import small_batches
 
 TOKENIZERS = os.environ.get("TOKENIZERS_FOLDER", "/opt/tokenizers")
 PIECE_MODEL = os.path.join(TOKENIZERS, "piece_bpe_32k.model")
@@ -28,6 +29,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 U64 = np.uint64
 PRIME = 0x9E3779B97F4A7C15  # odd, so multiplication mod 2**64 is invertible
@@ -26,6 +27,12 @@ NOT_ALNUM = np.ones(256, dtype=bool)  # a word is digits, lower-case letters, an
 NOT_ALNUM[0x30:0x3A] = NOT_ALNUM[0x61:0x7B] = NOT_ALNUM[0x80:] = False
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts are long rows: hand Python fewer of them at a time, unless the session says otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's own default
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def text_chunks(batch: pa.RecordBatch, column: str = "text",
                 limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of runs of rows; limit bounds a run unless it is one row."""
