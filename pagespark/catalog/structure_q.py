@@ -9,17 +9,17 @@ from pagespark.fixtures.sql import h, u, with_tables
 from pagespark.fixtures.tables import SCRIPTS
 from pagespark.functions.boxes import SIDES, Box, downscale_factor
 from pagespark.functions.hashing import hash_pick
-from pagespark.functions.scores import contrast_stretch_array
+from pagespark.functions.scores import argmax_steps, contrast_stretch_array
 from pagespark.functions.text import accepts_language, concat_ordered
 from pagespark.operators import folds, scripts as SC
 from pagespark.operators.aggregates import envelope
 from pagespark.operators.chunks import split_windows
+from pagespark.operators.joins import GROWING
 from pagespark.operators.lines import merge_fragments, merge_same_row
 from pagespark.operators.order import reading_order
 from pagespark.operators.suppress import link_lines, resolve_overlaps, suppress
 from pagespark.plans import assemble, layout
 
-LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 # ---- lines -------------------------------------------------------------------------
@@ -313,18 +313,19 @@ def p15(t):
 
 @query("p16_decode_wide", with_tables(f"""
   SELECT tag, string_agg(list_reduce(list_prepend('', list_transform(list_filter(range(1, len(cls)+1), lambda i: i = 1 OR cls[i] <> cls[i-1]),
-      lambda i: CASE WHEN cls[i] = 27 THEN '' ELSE substr('{LOWER}', cls[i]::bigint, 1) END)), lambda x, y: concat(x, y)), '' ORDER BY chunk) AS text FROM (
+      lambda i: CASE WHEN cls[i] = n + 1 THEN '' ELSE substr(cs, cls[i]::bigint, 1) END)), lambda x, y: concat(x, y)), '' ORDER BY chunk) AS text FROM charset, (
     SELECT tag, chunk, list_transform(list_slice(scores, chunk*k+1, chunk*k+k), lambda s: list_position(s, list_max(s))) AS cls FROM (
       SELECT tag, scores, unnest(range(0, m)) AS chunk, m, ceil(len(scores)/m::double)::bigint AS k FROM (
-        SELECT c.tag, c.scores, CASE WHEN w > 150 AND w/h::double >= 8 THEN (w-1)//150 + 1 ELSE 1 END AS m FROM char_scores c JOIN wide_words USING (tag)))) GROUP BY tag""", "char_scores", "wide_words"))
+        SELECT c.tag, c.scores, CASE WHEN w > 150 AND w/h::double >= 8 THEN (w-1)//150 + 1 ELSE 1 END AS m FROM char_scores c JOIN wide_words USING (tag)))) GROUP BY tag""", "char_scores", "wide_words", "charset"))
 def p16(t):
     """Wide words cut in windows; each window holds its share of the word's score steps."""
-    cut = split_windows(t.wide_words.select("tag", "w", "h"), F.col("w"), F.col("h"))
-    scored = cut.join(t.char_scores.select("tag", "scores"), "tag")
+    read = t.char_scores.select("tag", argmax_steps(F.col("scores")).alias("classes"))  # scores stay in their task
+    sized = t.wide_words.select("tag", "w", "h").hint(GROWING).join(read.hint(GROWING), "tag")
+    scored = split_windows(sized, F.col("w"), F.col("h"))
     m = F.when((F.col("w") > 150) & (F.col("w") / F.col("h") >= 8), F.floor((F.col("w") - 1) / 150) + 1).otherwise(1)
-    k = F.ceil(F.size("scores") / m).cast("int")
-    share = F.slice("scores", (F.col("chunk") * k + 1).cast("int"), k)
-    return assemble.decode_wide(scored.select("tag", "chunk", share.alias("scores")), ["tag"], LOWER)
+    k = F.ceil(F.size("classes") / m).cast("int")
+    share = F.slice("classes", (F.col("chunk") * k + 1).cast("int"), k)
+    return assemble.decode_wide(scored.select("tag", "chunk", share.alias("classes")), ["tag"], t.charset, classes="classes")
 
 
 # ---- scores and languages --------------------------------------------------------------

@@ -179,10 +179,9 @@ def s4(t):
     return SRC.light_pages(page_documents(t))
 
 
-@query("s4_light_words", with_tables("SELECT concat('data/', file) AS path FROM samples WHERE direction = 'ltr'", "samples"))
+@query("s4_light_words", with_tables("SELECT concat('data/', file) AS path FROM samples", "samples"))
 def s4_words(t):
-    kept = t.samples.filter(F.col("direction") == "ltr")
-    names = kept.select(F.explode(F.array("file", "mask", F.concat("tag", F.lit(".txt")))).alias("name"))
+    names = t.samples.select(F.explode(F.array("file", "mask", F.concat("tag", F.lit(".txt")))).alias("name"))
     return SRC.light_words(names.select(F.concat(F.lit("data/"), "name").alias("path")))
 
 

@@ -13,7 +13,6 @@ from pagespark.operators.filters import (charset_union, clean_failures, drop_emp
                                          sample_view, same_direction, select_datasets, stable_pages, unrotated)
 from pagespark.operators.html import html_words
 
-LOWER = "abcdefghijklmnopqrstuvwxyz"
 EMOJI_SQL = r"'[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]'"
 
 
@@ -49,7 +48,7 @@ def f2(t):
   SELECT doc_id, count(*) FILTER (WHERE length(word) <= 8) AS short, count(*) FILTER (WHERE length(word) > 3 AND length(word) <= 12) AS mid
   FROM words GROUP BY doc_id""", "words"))
 def f4(t):
-    rest = F.substring("word", 4, 1000000)
+    rest = F.substr(F.col("word"), F.lit(4))
     return t.words.groupBy("doc_id").agg(
         F.count_if(max_length(F.col("word"), 8)).alias("short"),
         F.count_if(max_length(rest, 9, non_empty=True)).alias("mid"))
@@ -157,25 +156,24 @@ def x1(t):
 
 
 @query("x2_encode", with_tables(f"""
-  SELECT tag, array_to_string(list_concat(list_transform(range(1,length(word)+1), lambda i: strpos('{LOWER}', word[i])-1),
-      list_transform(range(0, greatest(0, 12-length(word))), lambda i: 26)), ',') AS codes
-  FROM words WHERE regexp_full_match(word, '[a-z]+')""", "words"))
+  SELECT tag, array_to_string(list_concat(list_transform(range(1,length(word)+1), lambda i: strpos(cs, word[i])-1),
+      list_transform(range(0, greatest(0, 12-length(word))), lambda i: n)), ',') AS codes
+  FROM words, charset""", "words", "charset"))
 def x2(t):
-    kept = t.words.filter(accepts(F.col("word"), LOWER))
-    return kept.select("tag", F.array_join(encode(F.col("word"), LOWER, 12), ",").alias("codes"))
+    return t.words.select("tag", F.array_join(encode(F.col("word"), t.charset, 12), ",").alias("codes"))
 
 
 @query("x3_decode", with_tables("""
   SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE same) AS back, sum(runs)::bigint AS runs FROM (
     SELECT doc_id, true AS same, length(regexp_replace(word, '', '')) -
       len(list_filter(range(2,length(word)+1), lambda i: word[i] = word[i-1])) AS runs
-    FROM words WHERE regexp_full_match(word, '[a-z]+')) GROUP BY doc_id""", "words"))
+    FROM words) GROUP BY doc_id""", "words"))
 def x3(t):
     """Plain decoding gives the word back; collapsing leaves one letter per run."""
-    codes = t.words.filter(accepts(F.col("word"), LOWER)).withColumn("codes", encode(F.col("word"), LOWER, 20))
+    codes = t.words.withColumn("codes", encode(F.col("word"), t.charset, 20))
     return codes.groupBy("doc_id").agg(
-        F.count("*").alias("n"), F.count_if(decode(F.col("codes"), LOWER) == F.col("word")).alias("back"),
-        total(F.length(decode(F.col("codes"), LOWER, "collapse"))).alias("runs"))
+        F.count("*").alias("n"), F.count_if(decode(F.col("codes"), t.charset) == F.col("word")).alias("back"),
+        total(F.length(decode(F.col("codes"), t.charset, "collapse"))).alias("runs"))
 
 
 @query("x4_argmax_steps", with_tables("""
@@ -192,8 +190,8 @@ def x11(t):
 
 
 @query("u3_charset_union", """
-  SELECT DISTINCT char FROM (SELECT unnest(string_split(text, '')) AS char FROM documents WHERE lang IN ('de', 'fr') AND length(text) > 0)""")
+  SELECT DISTINCT char FROM (SELECT unnest(string_split(text, '')) AS char FROM documents WHERE lang IN ('de', 'en', 'es', 'fr') AND length(text) > 0)""")
 def u3(t):
-    """Charset of the German and the French documents together."""
+    """Charsets of the four languages put together."""
     chars = t.documents.filter(F.length("text") > 0).select("lang", F.explode(F.array_distinct(F.split("text", ""))).alias("char"))
-    return charset_union([chars.filter(F.col("lang") == lang) for lang in ("de", "fr")])
+    return charset_union([chars.filter(F.col("lang") == lang) for lang in ("de", "en", "es", "fr")])

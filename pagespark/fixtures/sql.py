@@ -97,13 +97,15 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
       SELECT source, word, row_number() OVER (PARTITION BY source ORDER BY word) - 1 AS pos FROM source_words"""),
     "wide_words": (("words",), f"""
       SELECT doc_id, page_no, tag, word, 14::bigint AS h, 10*length(word)*(1+{h("concat('w|',tag)")}%40) AS w FROM words"""),
-    "char_scores": (("words",), f"""
-      SELECT tag, word, list_transform(steps, lambda k: list_transform(range(0,27), lambda j: CASE WHEN j = k THEN 0.9::double ELSE 0.01::double END)) AS scores
+    "charset": (("words",), """
+      SELECT string_agg(c, '' ORDER BY c) AS cs, count(*) AS n FROM (SELECT DISTINCT unnest(string_split(word, '')) AS c FROM words)"""),
+    "char_scores": (("words", "charset"), f"""
+      SELECT tag, word, list_transform(steps, lambda k: list_transform(range(0,n+1), lambda j: CASE WHEN j = k THEN 0.9::double ELSE 0.01::double END)) AS scores
       FROM (SELECT tag, word, flatten(list_transform(range(1, length(word)+1), lambda i: list_concat(
-              CASE WHEN i > 1 AND word[i] = word[i-1] THEN [26::bigint] ELSE []::bigint[] END,
-              CASE WHEN {h("concat('q|',tag,'|',i-1)")} % 2 = 0 THEN [(ord(word[i])-97)::bigint]
-                   ELSE [(ord(word[i])-97)::bigint,(ord(word[i])-97)::bigint] END))) AS steps
-            FROM words WHERE regexp_full_match(word, '[a-z]+'))"""),
+              CASE WHEN i > 1 AND word[i] = word[i-1] THEN [n::bigint] ELSE []::bigint[] END,
+              CASE WHEN {h("concat('q|',tag,'|',i-1)")} % 2 = 0 THEN [(strpos(cs, word[i])-1)::bigint]
+                   ELSE [(strpos(cs, word[i])-1)::bigint,(strpos(cs, word[i])-1)::bigint] END))) AS steps, n
+            FROM words, charset)"""),
     "script_scores": (("words",), f"""
       SELECT *, ({h("concat('x|',tag,'|',script)")}%100)/100.0::double AS score FROM (
         SELECT doc_id, page_no, tag, unnest(['latin','german','french','spanish']) AS script FROM words)"""),

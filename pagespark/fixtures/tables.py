@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagespark.functions.hashing import hash_int, hash_pick
-from pagespark.functions.text import concat_ordered
+from pagespark.functions.text import classes_of, concat_ordered
 
 WORDS_PER_ROW = 12
 ROWS_PER_PAGE = 60
@@ -251,19 +251,26 @@ class Tables:
             *PAGE, "tag", "word", big(14).alias("h"),
             (10 * F.length("word") * (1 + hash_pick(40, "w", F.col("tag")))).cast("bigint").alias("w"))
 
+    @cached_property
+    def charset(self) -> str:
+        """Every character of the words, in code point order; bounded by Unicode itself."""
+        chars = self.words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).distinct().collect()
+        return "".join(sorted(r["c"] for r in chars))
+
     @cached_property
     def char_scores(self) -> DataFrame:
-        """Recogniser scores of the lower-case words: per letter one or two steps, a
-        blank step between equal letters, 27 classes with the blank last."""
-        chars = F.split("word", "")
-        lower = self.words.filter(F.col("word").rlike("^[a-z]+$")).select("tag", "word", chars.alias("chars"))
+        """Recogniser scores of every word: per character one or two steps, a blank step
+        between equal characters, a class for each character of the texts and the blank last."""
+        charset = self.charset
+        blank = len(charset)
+        words = self.words.select("tag", "word", F.split("word", "").alias("chars"))
         steps = F.flatten(F.transform("chars", lambda c, i: F.concat(
-            F.when((i > 0) & (c == F.get("chars", i - 1)), F.array(big(26))).otherwise(F.array().cast("array<bigint>")),
-            F.array_repeat(big(F.ascii(c) - 97), 1 + hash_pick(2, "q", F.col("tag"), i.cast("string")).cast("int")),
+            F.when((i > 0) & (c == F.get("chars", i - 1)), F.array(big(blank))).otherwise(F.array().cast("array<bigint>")),
+            F.array_repeat(F.array_position(classes_of(charset), c) - 1, 1 + hash_pick(2, "q", F.col("tag"), i.cast("string")).cast("int")),
         )))
         low = lambda n: F.array_repeat(F.lit(0.01), n.cast("int"))
-        row = lambda k: F.concat(low(k), F.array(F.lit(0.9)), low(26 - k))
-        return lower.select("tag", "word", F.transform(steps, row).alias("scores"))
+        row = lambda k: F.concat(low(k), F.array(F.lit(0.9)), low(blank - k))
+        return words.select("tag", "word", F.transform(steps, row).alias("scores"))
 
     @cached_property
     def script_scores(self) -> DataFrame:

@@ -217,10 +217,11 @@ def pyramid_side(value: Column, depth: int) -> Column:
 
 def needs_split(width: Column, height: Column, max_height: int | str = "*", max_width: int | str = 150,
                 ratio: float | str = 8) -> Column:
-    """A word is cut in windows when it is too large and too wide for its height."""
+    """A word is cut in windows when it is too large and too wide for its height; one
+    without height is not cut."""
     too_high = F.lit(False) if max_height == "*" else height > max_height
     too_wide = F.lit(False) if max_width == "*" else width > max_width
-    slender = F.lit(False) if ratio == "*" else (width.cast("double") / height.cast("double")) >= ratio
+    slender = F.lit(False) if ratio == "*" else F.coalesce(F.try_divide(width.cast("double"), height.cast("double")) >= ratio, F.lit(False))
     return (too_high | too_wide) & slender
 
 

@@ -117,8 +117,8 @@ def words_per_page(words: DataFrame, page: Sequence[str]) -> DataFrame:
 
 
 def recognition_scores(pairs: DataFrame, keys: Sequence[str], target: str = "target", predicted: str = "predicted") -> DataFrame:
-    """Share of exact readings and character error rate."""
+    """Share of exact readings and character error rate, null where all targets are empty."""
     errors = F.sum(F.levenshtein(target, predicted))
     return pairs.groupBy(*keys).agg(
         F.avg((F.col(target) == F.col(predicted)).cast("double")).alias("exact"),
-        (errors / F.sum(F.length(target))).alias("cer"))
+        F.try_divide(errors, F.sum(F.length(target))).alias("cer"))

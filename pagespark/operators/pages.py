@@ -21,7 +21,10 @@ def group_starts(table: pa.Table, group: Sequence[str]) -> np.ndarray:
     changed = np.zeros(table.num_rows - 1, dtype=bool)
     for name in group:
         column = table[name].combine_chunks()
-        changed |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        after, before = column[1:], column[:-1]
+        differ = pc.fill_null(pc.not_equal(after, before), False).to_numpy(zero_copy_only=False)
+        nulls = pc.not_equal(pc.is_null(after), pc.is_null(before)).to_numpy(zero_copy_only=False)  # null equals null
+        changed |= differ | nulls
     return np.concatenate([[0], np.flatnonzero(changed) + 1])
 
 

@@ -46,13 +46,21 @@ def choose(weights: Mapping[str, float], *key: Column | str) -> Column:
 def weighted_draw(slots: DataFrame, key: Sequence[str], weights: Mapping[str, float], members: DataFrame,
                   seed: str = "draw") -> DataFrame:
     """For each slot a source by weight, then one of its members, all equally likely.
-    ``members`` holds (source, pos, word) with dense places. The sizes table has one
-    row per weighted source, which the caller listed, so it is sent to every task."""
+    ``members`` holds (source, pos, word) with dense places. Sources without members are
+    left out and the other weights rescaled, so every slot gets a word; without any member
+    it raises. The sizes table has one row per weighted source, which the caller listed, so
+    it is sent to every task."""
     whole_key = F.concat_ws("|", *key)
     sizes = members.filter(F.col("source").isin(list(weights))).groupBy("source").agg(F.count("*").alias("_size"))
+    held = {r["source"] for r in sizes.select("source").collect()}
+    left = {s: w for s, w in weights.items() if s in held and w > 0}
+    if not left:
+        raise ValueError("no weighted source has a member")
+    if set(left) != {s for s, w in weights.items() if w > 0}:
+        weights = {s: w / sum(left.values()) for s, w in left.items()}
     drawn = slots.withColumn("source", choose(weights, seed, whole_key))
     placed = drawn.join(F.broadcast(sizes), "source").withColumn("pos", hash_pick(F.col("_size"), seed + "#", whole_key))
-    return placed.drop("_size").join(members, ["source", "pos"])
+    return placed.drop("_size").hint(GROWING).join(members.hint(GROWING), ["source", "pos"])
 
 
 def init_weights(items: DataFrame, item: str, given: Mapping[str, float] | None = None) -> DataFrame:

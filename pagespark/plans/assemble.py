@@ -47,9 +47,12 @@ def assemble_pages(pages: DataFrame, words: DataFrame, texts: DataFrame, scripts
         F.count("*").alias("n_lines"), F.sum("n_words").alias("n_words"), concat_ordered(order, F.col("text"), "\n").alias("text"))
 
 
-def decode_wide(windows: DataFrame, key: Sequence[str], charset: str, scores: str = "scores", mode: str = "collapse") -> DataFrame:
-    """Words read window by window: top class per step, text of the classes, windows appended."""
-    read = windows.select(*key, "chunk", decode(argmax_steps(F.col(scores)), charset, mode).alias("text"))
+def decode_wide(windows: DataFrame, key: Sequence[str], charset: str, scores: str = "scores", mode: str = "collapse",
+                classes: str | None = None) -> DataFrame:
+    """Words read window by window: top class per step (or the given ``classes``), text of the
+    classes, windows appended."""
+    codes = F.col(classes) if classes else argmax_steps(F.col(scores))
+    read = windows.select(*key, "chunk", decode(codes, charset, mode).alias("text"))
     return merge_texts(read, key)
 
 
