@@ -277,9 +277,7 @@ def s12_pages(t):
 def s13(t):
     """One summary row per batch handed out."""
     events = t.read("events").select("event_id")
-    size = 333
-    ids = O.numbered(events, ["event_id"], "index").withColumn("batch", O.shard_number(F.col("index"), size=size))
-    return ids.groupBy("batch").agg(F.count("*").alias("rows"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+    return shards.batched(events, ["event_id"], size=333).groupBy("batch").agg(F.count("*").alias("rows"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
 
 
 @query("s14_rename_extension", with_tables("""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pagespark.operators.html import EMPTIED, SKIPPED, VOID_TAGS
+
 
 def h(key: str) -> str:
     return f"(concat('0x',substr(md5({key}),1,8))::bigint)"
@@ -17,8 +19,10 @@ LK = "concat(doc_id,'|',page_no,'|',row_no)"
 
 def clean_html(column: str) -> str:
     out = column
-    for tag in ("script", "style", "title", "noscript", "iframe", "head"):
+    for tag in SKIPPED:
         out = f"regexp_replace({out}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
+    for tag in (t for t in EMPTIED if t not in VOID_TAGS):
+        out = f"regexp_replace({out}, '(?i)<{tag}\\b[^>]*>[^<]*', ' ', 'g')"
     out = f"regexp_replace({out}, '(?s)<!--.*?-->', ' ', 'g')"
     return f"regexp_replace({out}, '(?s)<[^>]*>', ' ', 'g')"
 

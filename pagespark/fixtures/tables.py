@@ -31,10 +31,8 @@ def big(value: Column | int) -> Column:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal rows out over the cores when the scan has fewer splits than cores (one
-    small file); a scan of many files is left alone and not shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    """Deal rows out by key: a file may hold many long texts in one split."""
+    return df.repartition(key)
 
 
 class Tables:

@@ -127,14 +127,13 @@ def box_minus(outer: Box, inner: Box) -> Box:
     """What is left of a box beside an inner box; each axis keeps the part before
     the inner box if there is one, else the part after it."""
     before_x, before_y = inner.left > outer.left, inner.top > outer.top
-    left = F.when(before_x, outer.left).otherwise(inner.right + 1)
-    top = F.when(before_y, outer.top).otherwise(inner.bottom + 1)
-    return Box(
-        left,
-        top,
-        F.when(left == inner.right + 1, outer.right).otherwise(inner.left - 1),
-        F.when(top == inner.bottom + 1, outer.bottom).otherwise(inner.top - 1),
-    )
+
+    def part(before: Column, outer_low: Column, outer_high: Column, low: Column, high: Column) -> tuple[Column, Column]:
+        return F.when(before, outer_low).otherwise(high + 1), F.when(before, low - 1).otherwise(outer_high)
+
+    left, right = part(before_x, outer.left, outer.right, inner.left, inner.right)
+    top, bottom = part(before_y, outer.top, outer.bottom, inner.top, inner.bottom)
+    return Box(left, top, right, bottom)
 
 
 def pad_clip(box: Box, pad: int, width: Column, height: Column) -> Box:

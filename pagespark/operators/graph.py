@@ -9,7 +9,6 @@ from pagespark.functions.hashing import hash_int, hash_pick
 from pagespark.session import written
 
 SALTS = 64
-BROADCAST_ROWS = 1_000_000
 
 
 def picked_links(links: DataFrame, breadth: int, seed: str = "walk") -> DataFrame:
@@ -27,19 +26,17 @@ def crawl_frontier(links: DataFrame, start: int, depth: int = 14, breadth: int =
     """Pages reached from ``start`` with the depth at which each is first met.
 
     All levels together hold fewer than ``breadth ** (depth + 1)`` pages whatever the size
-    of the link table. Where that is few they are broadcast, else they are joined by
-    shuffle. Each level is written before the next is begun.
+    of the link table. Each level is written before the next is begun, so its joins are
+    planned from the size it has.
     """
     spark = links.sparkSession
-    small = breadth ** (depth + 1) <= BROADCAST_ROWS
-    sent = F.broadcast if small else (lambda df: df)
     picked = written(picked_links(links, breadth, seed), "picked")
     seen = spark.range(1).select(F.lit(start).cast("bigint").alias("page_id"), F.lit(0).cast("bigint").alias("depth"))
     level = seen.select("page_id")
     for d in range(1, depth + 1):
-        step = picked.join(sent(level.withColumnRenamed("page_id", "src")), "src").select(
+        step = picked.join(level.withColumnRenamed("page_id", "src"), "src").select(
             F.col("dst").alias("page_id")).distinct()
-        level = written(step.join(sent(seen.select("page_id")), "page_id", "left_anti"), "level")
+        level = written(step.join(seen.select("page_id"), "page_id", "left_anti"), "level")
         if level.isEmpty():
             break
         seen = seen.unionByName(level.withColumn("depth", F.lit(d).cast("bigint")))

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Elements whose text is not page text.
-SKIPPED = ("script", "style", "title", "noscript", "iframe", "head")
+SKIPPED = ("script", "noscript", "style", "title", "head", "iframe")
+# Form elements that lose the text in them.
+EMPTIED = ("option", "input", "textarea")
 # Elements that are paragraphs, first choice and second choice.
 PARAGRAPH_TAGS = (
     ("li", "td", "tr", "th", "h1", "h2", "h3", "h4", "h5", "h6", "h7", "pre", "dt", "dd", "p"),
@@ -25,10 +27,12 @@ ENTITIES = {"&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&lt;": "<", "&gt;"
 
 
 def html_text(html: Column) -> Column:
-    """Page text: skipped elements, comments and tags become blanks."""
+    """Page text: skipped elements, text in form elements, comments and tags become blanks."""
     out = html
     for tag in SKIPPED:
         out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
+    for tag in (t for t in EMPTIED if t not in VOID_TAGS):  # they hold text alone, and may lack an end tag
+        out = F.regexp_replace(out, rf"(?i)<{tag}\b[^>]*>[^<]*", " ")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
     out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
     for entity, char in ENTITIES.items():
@@ -74,7 +78,7 @@ class _Nodes(HTMLParser):
         return self.open[-1]
 
     def handle_data(self, data):
-        if data and not any(tag in SKIPPED for _, tag in self.open):
+        if data and not any(tag in SKIPPED + EMPTIED for _, tag in self.open):
             self.nodes.append((data, self.open[-1][1], *self.paragraph()))
 
 

@@ -23,21 +23,21 @@ def hash_split(key: Column, share: float, seed: str = "split") -> Column:
 def exact_split(df: DataFrame, key: str, share: float, seed: str = "split") -> DataFrame:
     """Exactly ``floor(share * N)`` rows for training, drawn without replacement; ``key``
     is unique. Rows rank by hash. Bucket counts (at most 65536 rows) tell which bucket
-    the cut falls in, and only that bucket's rows are ranked one by one."""
+    the cut falls in, and only that bucket's rows are ranked one by one, by range."""
     rows = df.withColumn("_hash", hash_int(seed, F.col(key))).withColumn(
         "_bucket", F.floor(F.col("_hash") / (HASH_SPAN // BUCKETS)))
     counts = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
     upto = F.sum("_n").over(Window.orderBy("_bucket"))
     cut = F.floor(F.lit(share) * F.sum("_n").over(Window.partitionBy()))
-    plan = counts.select("_bucket", (upto - F.col("_n")).alias("_before"), upto.alias("_upto"), cut.alias("_cut"))
+    plan = counts.select("_bucket", (upto - F.col("_n")).alias("_smaller"), upto.alias("_upto"), cut.alias("_cut"))
     placed = rows.join(F.broadcast(plan), "_bucket")
-    whole = placed.filter((F.col("_upto") <= F.col("_cut")) | (F.col("_before") >= F.col("_cut")))
-    shared = placed.filter((F.col("_upto") > F.col("_cut")) & (F.col("_before") < F.col("_cut")))
-    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", key))
+    whole = placed.filter((F.col("_upto") <= F.col("_cut")) | (F.col("_smaller") >= F.col("_cut")))
+    shared = placed.filter((F.col("_upto") > F.col("_cut")) & (F.col("_smaller") < F.col("_cut")))
+    shared = numbered(shared, ["_hash", key], "_rank")
     split = lambda trained: F.when(trained, "train").otherwise("val")
     done = whole.withColumn("split", split(F.col("_upto") <= F.col("_cut"))).unionByName(
-        shared.withColumn("split", split(rank <= F.col("_cut"))))
-    return done.drop("_hash", "_bucket", "_before", "_upto", "_cut")
+        shared.withColumn("split", split(F.col("_smaller") + F.col("_rank") < F.col("_cut"))).drop("_rank"))
+    return done.drop("_hash", "_bucket", "_smaller", "_upto", "_cut")
 
 
 def validation_rest(df: DataFrame, train: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pagespark.functions import boxes as B
 from pagespark.functions.boxes import Box
 from pagespark.functions.text import Language, build_language, decode, encode, normalize
-from pagespark.operators import graph, order as O, sampling as N, splits as S
+from pagespark.operators import graph, html, order as O, sampling as N, splits as S
 from pagespark.operators.html import html_nodes, paragraph_of
 from pagespark.operators.joins import box_join
 from pagespark.session import scratch_path, scratch_root
@@ -206,3 +206,17 @@ def test_nearest_paragraph_element(spark):
     assert got == [("a", 0, "li", "li"), ("b", 1, "b", "li"), ("c", 2, "b", "li"), ("d", 3, "dl", "dl"), ("e", 4, "div", "div"), ("f", 5, "i", "p")]
     spans = {r.paragraph_tag: (r.words, r.first, r.last) for r in paragraph_of(df).collect()}
     assert spans == {"li": (3, 0, 2), "dl": (1, 3, 3), "div": (1, 4, 4), "p": (1, 5, 5)}
+
+
+def test_text_of_form_elements_is_left_out(spark):
+    page = "<body>one<select><option>two<option value='3'>three</option></select>four<textarea>five</textarea><input>six</body>"
+    df = spark.createDataFrame([(1, page)], "page_id bigint, html string")
+    for words in (html.html_words(df), html.html_nodes(df)):
+        assert [r.word for r in words.orderBy("pos").collect()] == ["one", "four", "six"]
+
+
+def test_box_minus_keeps_the_part_before_or_else_after(spark):
+    sides = "left int, top int, right int, bottom int, o_left int, o_top int, o_right int, o_bottom int"
+    df = spark.createDataFrame([(0, 0, 9, 9, 4, 3, 6, 5), (4, 3, 9, 9, 4, 3, 6, 5), (0, 3, 9, 9, 4, 1, 6, 5)], sides)
+    rest = B.box_minus(Box.of(), Box.of("o_"))
+    assert [tuple(r) for r in df.select(*rest.sides).collect()] == [(0, 0, 3, 2), (7, 6, 9, 9), (0, 6, 3, 9)]
