@@ -31,8 +31,9 @@ def big(value: Column | int) -> Column:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal rows out by key: a file may hold many long texts in one split."""
-    return df.repartition(key)
+    """Deal rows out by key over all shuffle partitions: a few small splits may hold very many words, which
+    neither the scan nor the size of the shuffle shows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 class Tables:
