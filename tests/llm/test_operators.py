@@ -316,3 +316,15 @@ def test_pipeline_equals_its_rules(spark):
     hits = {r["doc_id"] for r in D.decontaminate(kept, Q.table(spark, folder, "benchmark")).collect() if r["hits"]}
     got = corpus_pipeline.run(spark, folder)
     assert {r["doc_id"] for r in got.collect()} == set(left) - hits
+
+
+def test_near_copies_of_the_pipeline_share_five_words(spark, texts):
+    import corpus_pipeline
+
+    one = [f"w{i}" for i in range(50)]
+    pair = [" ".join(one), " ".join([*one[:25], "other", *one[26:]])]  # 41 of 51 runs of five words, 45 of 51 of three
+    many = [*texts, *pair]
+    roots = brute_components([shingles(t, 5) for t in many], (80, 100))
+    assert roots[-1] == len(many) - 2
+    got = corpus_pipeline.near_copies(spark, docs(spark, many), "").collect()
+    assert sorted(r["doc_id"] for r in got) == [i for i, root in enumerate(roots) if root == i]
