@@ -196,6 +196,15 @@ def test_style_tree(spark):
     assert (got[100], got[101], got[102], got[103]) == ("", "", "a b c 1 < 2", "")
 
 
+@pytest.mark.parametrize("size", [20, 2000])
+def test_style_tree_judges_hosts_of_all_sizes_alike(spark, size):
+    """A block of a host goes by its share of the pages: one on 3 of 10 stays, one on 9 of 10 goes."""
+    rows = [(i, f"http://h/{i}", f"<article><h1>T{i}</h1>{'<p>cited</p>' if i % 10 < 3 else ''}"
+             f"<div class=x>{'rights' if i % 10 else f'own {i}'}</div></article>") for i in range(size)]
+    got = {r["page_id"]: r["text"] for r in S.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: " ".join([f"T{i}", *["cited"] * (i % 10 < 3), *[f"own {i}"] * (i % 10 == 0)]) for i in range(size)}
+
+
 def test_secrets(spark):
     key = "AKIA" + "A" * 12
     texts = [f'é password = "hunter2hunter" and {key} and {"0af" * 12}', "token: short", "ſecret=longenoughvalue", "AKIAshort", None, "", "Api-key=abcdefgh, apikey:'abcdefgh1'",
