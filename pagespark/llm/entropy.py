@@ -3,7 +3,8 @@
 Three patterns are always reported. Beside them, runs of one character class inside long
 unbroken strings are scanned with a sliding window; its entropy is kept up by counts as one
 character enters and one leaves, never computed anew. Windows over the class's threshold
-merge to a span, unless an allow-list pattern matches the string or a pattern's span meets it.
+merge to a span, unless an allow-list pattern matches the string. Of a span that meets a pattern's
+span, what lies outside that one is kept, since a secret may be joined to another.
 
 Defined results: a null text is an empty one without spans; spans count code points with an
 exclusive end; rows may repeat; an empty table gives no rows. Other columns are not read.
@@ -72,6 +73,18 @@ def windows_over(text: str, threshold: float, window: int = WINDOW) -> list[tupl
     return spans
 
 
+def outside(start: int, stop: int, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of a span outside the covered ones, in order."""
+    left = []
+    for a, b in sorted(covered):
+        if a >= stop:
+            break
+        if a > start:
+            left.append((start, a))
+        start = max(start, b)
+    return [*left, (start, stop)] if start < stop else left
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, stop) of the patterns."""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
@@ -94,18 +107,18 @@ def entropy_spans(text: str, allowed=ALLOWED) -> list[tuple[int, int, int]]:
                     continue
                 for a, b in windows_over(run.group(), threshold):
                     a, b = m.start() + run.start() + a, m.start() + run.start() + b
-                    if not any(a < y and x < b for x, y in found):
-                        found.append((a, b))
+                    found += outside(a, b, found)
         out += [(a, 3, b) for a, b in found]
     return out
 
 
 def secrets_in(text: str | None, allowed=ALLOWED) -> list[tuple[int, int, int]]:
-    """All spans by start, then kind; entropy spans that meet a pattern's span are left out."""
+    """All spans by start, then kind; entropy spans only outside the patterns' spans."""
     if not text:
         return []
     base = base_spans(text)
-    more = [x for x in entropy_spans(text, allowed) if not any(x[0] < b[2] and b[0] < x[2] for b in base)]
+    covered = [(a, b) for a, _, b in base]
+    more = [(x, 3, y) for a, _, b in entropy_spans(text, allowed) for x, y in outside(a, b, covered)]
     return sorted(base + more)
 
 

@@ -218,6 +218,21 @@ def test_secrets(spark):
     assert masked[0]["n_chars"] == len(masked[0]["text"])
 
 
+def test_secrets_beside_a_pattern(spark):
+    ends = "QmFzZTY0U2VjcmV0S2V5", "aQ3xZ9kLm2Pw8RtYv5Ns7Bc1"
+    texts = ["9f86d081884c7d659a2feaa0c55ad015-QmFzZTY0U2VjcmV0S2V5MTIz", "AKIA" + "A" * 12 + "/" + ends[1], "9F86D081884C7D659A2FEAA0C55AD015-" + ends[0]]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["stop"]) for s in r["spans"]] for r in E.scan_secrets(docs(spark, texts)).collect()}
+    assert got[0] == [("hex", 0, 32), ("entropy", 32, 51)] and got[1] == [("access", 0, 16), ("entropy", 16, 41)]
+    assert [k for k, *_ in got[2]] == ["entropy"] * 2 and got[2][0][2] == got[2][1][1] == 32  # two classes of windows
+    masked = [r["text"] for r in E.mask_secrets(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert not any(x[:16] in m for x in ends for m in masked)
+
+
+def test_outside_of_spans():
+    assert E.outside(2, 10, []) == [(2, 10)] and E.outside(2, 10, [(0, 12)]) == []
+    assert E.outside(2, 10, [(8, 9), (0, 3), (2, 5)]) == [(5, 8), (9, 10)] and E.outside(2, 4, [(4, 6), (0, 2)]) == [(2, 4)]
+
+
 def test_entropy_counts_equal_plain_entropy():
     text, least = "0011223344556677889900aabbccddeeffzzzzzzzzzzzzzzzzzzzzzz0123456789abcdefghij", 3.0
     marked = set()
