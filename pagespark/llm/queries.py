@@ -12,6 +12,9 @@ from pagespark.llm import decontaminate as D
 from pagespark.llm import entropy as E
 from pagespark.llm import hashtree as H
 from pagespark.llm import jaccard as J
+from pagespark.llm import licences as LI
+from pagespark.llm import merkle as K
+from pagespark.llm import middle as M
 from pagespark.llm import pieces as P
 from pagespark.llm import pseudonyms as N
 from pagespark.llm import repetition as R
@@ -117,6 +120,42 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return encoded(table(spark, folder, "documents"))
 
 
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    base = F.filter("places", lambda p: p["base"])
+    starts = F.transform(base, lambda p: p["start"])
+    names = F.array_sort(F.array_distinct(F.transform(base, lambda p: p["label"])))
+    return LI.scan_licences(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), F.array_join(names, ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score")
+
+
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return M.fill_in_middle(table(spark, folder, "documents")).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"),
+        sha(M.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+           sha256('7:' || doc_id) AS h FROM documents),
+g AS (SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+      CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a+1:b], '') AS mid, array_to_string(u[b+1:n], '') AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(pre || mid || suf) AS restored_sha256
+FROM p"""
+
+
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % 2 == 0
+    found = K.manifest(table(spark, folder, "documents"), tampered, F.translate("text", "\n", ""))
+    return found.select("doc_id", "leaf", "subroot", "root", sha(F.array_join("proof", "")).alias("proof_sha256"),
+                        "folded_root", "verified")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -126,7 +165,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 LLM_QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1, "op2_jaccard_join": op2, "op3_repetition": op3, "op4_hash_tree": op4, "op5_pseudonyms": op5,
     "op6_style_tree": op6, "op7_entropy_secrets": op7, "op8_switch_language": op8, "op9_toxicity": op9, "op10_pieces": op10,
-    "pipeline": pipeline,
+    "op11_licence_scan": op11, "op12_wavelet_middle": op12, "op13_merkle_midstates": op13, "pipeline": pipeline,
 }
 
 OP2_SQL = r"""
@@ -140,7 +179,7 @@ reach AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reac
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)"""
 
-LLM_ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_jaccard_join": OP2_SQL}
+LLM_ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op2_jaccard_join": OP2_SQL, "op12_wavelet_middle": OP12_SQL}
 
 
 def oracles() -> dict[str, str]:
