@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagespark.functions.boxes import SIDES
 from pagespark.functions.text import concat_ordered
+from pagespark.operators.pages import by_page, numbers, spans
 
 
 def envelope(df: DataFrame, keys: Sequence[str], *more: Column) -> DataFrame:
@@ -21,18 +25,51 @@ def concat_text(df: DataFrame, keys: Sequence[str], order: Sequence[str], separa
     return df.groupBy(*keys).agg(concat_ordered([F.col(c) for c in order], F.col(text), separator).alias(text), *more)
 
 
+BAND_CELLS = 1 << 18  # cover counts held at once
+
+
+def covered_area(left: np.ndarray, top: np.ndarray, right: np.ndarray, bottom: np.ndarray) -> int:
+    """Pixels in at least one of some boxes. A line sweeps down over the distinct tops and
+    bottoms and holds, for each interval between neighbouring box sides, how many boxes
+    cover it. Many stops are counted at once as a band; the last counts of a band are the
+    first of the next."""
+    real = (left <= right) & (top <= bottom)
+    left, top, right, bottom = left[real], top[real], right[real] + 1, bottom[real] + 1
+    sides, stops = np.unique(np.concatenate((left, right))), np.unique(np.concatenate((top, bottom)))
+    if not len(sides):
+        return 0
+    a, b = np.searchsorted(sides, left), np.searchsorted(sides, right)
+    i, j = np.searchsorted(stops, top), np.searchsorted(stops, bottom)
+    n, widths, heights = len(sides), np.diff(sides).astype(np.float64), np.diff(stops)
+    at, side = np.concatenate((i, i, j, j)), np.concatenate((a, b, a, b))  # a box begins at its top and ends at its bottom
+    change = np.repeat(np.array([1, -1, -1, 1]), len(left))
+    order = np.argsort(at, kind="stable")
+    at, side, change = at[order], side[order], change[order]
+    held = np.zeros(n, dtype=np.int32)
+    area, step = 0, max(BAND_CELLS // n, 1)
+    for first in range(0, len(heights), step):
+        rows = min(step, len(heights) - first)
+        p, q = np.searchsorted(at, (first, first + rows))
+        counts = np.bincount((at[p:q] - first) * n + side[p:q], change[p:q], minlength=rows * n).astype(np.int32).reshape(rows, n)
+        counts[0] += held
+        np.cumsum(counts, axis=0, out=counts)
+        held = counts[-1].copy()
+        lengths = (np.cumsum(counts, axis=1)[:, :-1] > 0) @ widths
+        area += int(lengths.astype(np.int64).dot(heights[first:first + rows]))
+    return area
+
+
 def class_pixels(pages: DataFrame, boxes: DataFrame, page: Sequence[str], width: str = "w", height: str = "h") -> DataFrame:
     """Pixels of each page outside (``zeros``) and inside (``ones``) its boxes, overlaps
-    counted once. Boxes move to their page's partition once; pixel rows are made and
-    swept there."""
-    spans = (
-        boxes.select(*page, "left", "top", "right", "bottom").repartition(*page)
-        .select(*page, "left", "right", F.explode(F.sequence("top", "bottom")).alias("y"))
-    )
-    earlier = Window.partitionBy(*page, "y").orderBy("left", "right").rowsBetween(Window.unboundedPreceding, -1)
-    reached = F.coalesce(F.max("right").over(earlier), F.col("left") - 1)
-    fresh = spans.withColumn("fresh", F.greatest(F.lit(0), F.col("right") - F.greatest(reached, F.col("left") - 1)))
-    covered = fresh.groupBy(*page).agg(F.sum("fresh").alias("ones"))
+    counted once. Boxes move to their page's partition once and are swept there."""
+
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        columns = numbers(table, *SIDES)
+        areas = [covered_area(*(c[a:b] for c in columns)) for a, b in spans(starts, table.num_rows)]
+        return table.select(list(page)).take(pa.array(starts)).append_column("ones", pa.array(areas, pa.int64()))
+
+    known = boxes.select(*page, *[F.col(c).cast("bigint").alias(c) for c in SIDES]).na.drop(subset=list(SIDES))
+    covered = by_page(known, page, page, [], run, "ones bigint", keep=page)
     ones = F.coalesce("ones", F.lit(0)).cast("bigint")
     return pages.join(covered, list(page), "left").select(
         *page, (F.col(width) * F.col(height) - ones).alias("zeros"), ones.alias("ones"))

@@ -42,16 +42,16 @@ def by_page(df: DataFrame, page: Sequence[str], group: Sequence[str], order: Seq
     schema = ", ".join([f"{c} {kind[c]}" for c in kept] + ([added] if added else []))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        held: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []  # one group's rows so far
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            last = int(group_starts(table, group)[-1])
-            if last:
-                yield table.slice(0, last)
-                held = table.slice(last).combine_chunks().to_batches()
+            before = held[-1].slice(held[-1].num_rows - 1) if held else batch.slice(0, 0)
+            last = int(group_starts(pa.Table.from_batches([before, batch]), group)[-1]) - before.num_rows
+            if last >= 0 and (held or last):
+                yield pa.Table.from_batches([*held, batch.slice(0, last)])
+                held = []
+            held.append(batch.slice(max(last, 0)))
         if held:
             yield pa.Table.from_batches(held)
 
