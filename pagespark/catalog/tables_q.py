@@ -15,6 +15,7 @@ from pagespark.operators.filters import restyle_eligible, sample_view
 from pagespark.operators.joins import pending_runs
 from pagespark.session import scratch_path
 from pagespark.sources import coco, samples as SRC, shards
+from pagespark.sources.members import write_files
 
 WEIGHTS = {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}
 
@@ -112,15 +113,36 @@ def broken(documents, salt):
     return documents.withColumn("value", F.when(hash_pick(10, salt, F.col("path")) == 0, short).otherwise(F.col("value")))
 
 
+def sample_files(t, *tables):
+    """Write rows (path, value) as files to the shared folder; the root as Spark lists it."""
+    root = scratch_path(t.spark, "samples")
+    for table in tables:
+        write_files(table, root)
+    return root if ":" in root else f"file:{root}"
+
+
+def inside(path):
+    """A listed path from the samples' root on."""
+    return F.regexp_extract(path, "(data/.*)$", 1)
+
+
+def page_images(t):
+    """An image file for all but a ninth of the pages."""
+    path = F.concat_ws("/", F.lit("data"), "doc_id", "page_no", F.lit("detection_data/image.png"))
+    return t.page_dims.select(path.alias("path"), F.lit("image").alias("value")).filter(hash_pick(9, "S5", F.col("path")) != 0)
+
+
 @query("s1_read_word_samples", with_tables(f"""
   SELECT concat('data/', w.doc_id, '/', w.page_no, '/recognition_data/', s.file) AS path, s.text, s.h, s.w, s.mask AS mask_file, s.rotated, s.direction
   FROM samples s JOIN words w USING (tag)
   WHERE {h("concat('S1|data/', w.doc_id, '/', w.page_no, '/recognition_data/data.json')")} % 10 <> 0 AND {h("concat('S2|', s.tag)")} % 9 <> 0""", "samples", "words"))
 def s1(t):
-    """Parsing of sample documents; some are broken, some samples have no image file."""
+    """Word samples read back from sample files; some files are broken, some samples have no image file."""
+    root = sample_files(t, broken(word_documents(t), "S1"))
     images = t.samples.join(t.words.select("tag", "page_no"), "tag").filter(hash_pick(9, "S2", F.col("tag")) != 0)
-    files = images.select(F.concat_ws("/", F.lit("data"), "doc_id", "page_no", F.lit("recognition_data"), "file").alias("path"))
-    return SRC.parse_word_samples(broken(word_documents(t), "S1"), files).drop("file")
+    listed = F.concat_ws("/", F.lit(root), F.lit("data"), "doc_id", "page_no", F.lit("recognition_data"), "file")
+    found = SRC.read_word_samples(t.spark, root, images=images.select(listed.alias("path")))
+    return found.withColumn("path", inside(F.col("path"))).drop("file")
 
 
 def page_documents(t):
@@ -144,9 +166,12 @@ def page_documents(t):
   SELECT d.doc_id, d.page_no, concat('http://site/', d.doc_id) AS url, d.h, d.w, n AS num_words, d.page_no % 2 = 0 AS background_changed,
     scale_w AS zeros, scale_h AS ones, sl AS boxes_left, sr AS boxes_right
   FROM page_dims d JOIN (SELECT {P}, count(*) AS n, sum(l)::bigint AS sl, sum(r)::bigint AS sr FROM words GROUP BY ALL) USING (doc_id, page_no)
-  WHERE {h("concat('S3|data/', doc_id, '/', page_no, '/detection_data/data.json')")} % 10 <> 0""", "page_dims", "words"))
+  WHERE {h("concat('S3|data/', doc_id, '/', page_no, '/detection_data/data.json')")} % 10 <> 0
+    AND {h("concat('S5|data/', doc_id, '/', page_no, '/detection_data/image.png')")} % 9 <> 0""", "page_dims", "words"))
 def s2(t):
-    pages = SRC.parse_page_samples(broken(page_documents(t), "S3"))
+    """Page samples read back from files; some files are broken, some pages have no image."""
+    pages = SRC.read_page_samples(t.spark, sample_files(t, broken(page_documents(t), "S3"), page_images(t)))
+    pages = pages.withColumn("folder", inside(F.col("folder")))
     boxes = SRC.page_boxes(pages, "tags_to_bounding_boxes_text").filter(F.col("text").isNotNull()).groupBy("folder").agg(
         total("left").alias("boxes_left"), total("right").alias("boxes_right"))
     part = lambda i: big(F.get(F.split("folder", "/"), i))
@@ -169,14 +194,15 @@ def s3(t):
         F.transform(F.array_sort(F.collect_list(F.struct("par", pair.alias("pair")))), lambda x: x["pair"]).alias("paragraphs"))
     path = F.concat_ws("/", F.lit("data"), "doc_id", "page_no", F.lit("layout_data/data.json"))
     docs = pages.select(path.alias("path"), F.to_json(F.struct("paragraphs")).alias("value"))
-    out = SRC.parse_layout_samples(docs)
-    return out.withColumn("word_left", F.col("word_box.left")).drop("word_box")
+    out = SRC.read_layout_samples(t.spark, sample_files(t, docs))
+    return out.withColumn("folder", inside(F.col("folder"))).withColumn("word_left", F.col("word_box.left")).drop("word_box")
 
 
 @query("s4_read_light", with_tables("""
   SELECT concat('data/', doc_id, '/', page_no, '/detection_data/data.json') AS path, concat('http://site/', doc_id) AS url, scale_w AS zeros, scale_h AS ones FROM page_dims""", "page_dims"))
 def s4(t):
-    return SRC.light_pages(page_documents(t))
+    pages, _ = SRC.read_light(t.spark, sample_files(t, page_documents(t)))
+    return pages.withColumn("path", inside(F.col("path")))
 
 
 @query("s4_light_words", with_tables("SELECT concat('data/', file) AS path FROM samples", "samples"))
@@ -185,9 +211,13 @@ def s4_words(t):
     return SRC.light_words(names.select(F.concat(F.lit("data/"), "name").alias("path")))
 
 
-@query("s5_list_images", with_tables("SELECT path, NULL::varchar AS text, NULL::boolean AS rotated FROM page_paths WHERE path LIKE '%.png'", "page_paths"))
+@query("s5_list_images", with_tables(f"""
+  SELECT concat('data/', doc_id, '/', page_no, '/detection_data/image.png') AS path, NULL::varchar AS text, NULL::boolean AS rotated FROM page_dims
+  WHERE {h("concat('S5|data/', doc_id, '/', page_no, '/detection_data/image.png')")} % 9 <> 0""", "page_dims"))
 def s5(t):
-    return SRC.unlabelled(t.page_paths).select("path", "text", "rotated")
+    """Images of a tree of files that holds documents too."""
+    root = sample_files(t, page_images(t), page_documents(t).select("path", F.lit("{}").alias("value")))
+    return SRC.list_images(t.spark, root).withColumn("path", inside(F.col("path"))).select("path", "text", "rotated")
 
 
 @query("s7_discover_pages", with_tables("""
