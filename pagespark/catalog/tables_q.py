@@ -301,6 +301,21 @@ def s12_pages(t):
     return shards.shard_samples(t.page_dims.select(*PAGE), list(PAGE), parts=4).select(*PAGE, "shard", "key")
 
 
+@query("s12_written_shards", with_tables("""
+  SELECT tag, i // 1000 + 1 AS shard, i % 1000 AS key, concat(i % 1000, '.png') AS sample_file, text, h, w, direction FROM (
+    SELECT s.*, row_number() OVER (ORDER BY w.doc_id, w.page_no, w.row_no, w.l, w.tag) - 1 AS i FROM samples s JOIN words w USING (tag))""", "samples", "words"))
+def s12_written(t):
+    """Re-keyed samples with their labels, written, written again, and read back."""
+    places = shards.shard_samples(t.words.select(*PAGE, "row_no", "left", "tag"), ["row_no", "left", "tag"], size=1000, group=PAGE)
+    rows = t.samples.join(places.select("tag", "shard", "key"), "tag")
+    rows = rows.withColumn("sample_file", shards.rekeyed(F.col("file"), F.col("key"))).select(
+        "tag", "key", "sample_file", "text", "h", "w", "direction", "shard")
+    path = scratch_path(t.spark, "shards")
+    for _ in range(2):
+        shards.write_shards(rows, path)
+    return shards.read_shards(t.spark, path, "tag string, key bigint, sample_file string, text string, h bigint, w bigint, direction string, shard bigint")
+
+
 @query("s13_iter_batches", """
   SELECT i // 333 AS batch, count(*) AS rows, min(event_id) AS first, max(event_id) AS last
   FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) GROUP BY ALL""")
