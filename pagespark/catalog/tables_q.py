@@ -620,14 +620,44 @@ def x8(t):
     return html.html_words(t.read("pages"))
 
 
-@query("x8_html_nodes", with_tables(f"""
-  SELECT page_id, generate_subscripts(ws,1)-1 AS pos, unnest(ws) AS word FROM (SELECT page_id, list_filter(regexp_split_to_array({_ENTITY},
-    '[ \\x{{00A0}}\\t\\n\\r\\x{{2002}}\\x{{2003}}]+'), lambda x: x <> '') AS ws FROM html_text)""", "html_text"))
+def _sql_list(values):
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+_INNER = "list_reverse(stack)"
+_FIRST, _SECOND = (_sql_list(c) for c in html.PARAGRAPH_TAGS)
+_PIECE_SQL = html.PIECE.replace("++", "+").replace("*+", "*").replace("'", "''")
+# One piece of every page a step: the open elements are a list, an end tag cuts it at the innermost element of its name.
+NODES_SQL = f"""RECURSIVE pieces AS MATERIALIZED (
+  SELECT page_id, i, piece, name, CASE WHEN NOT tag THEN 'text' WHEN name = '' THEN 'other' WHEN starts_with(piece, '</') THEN 'end'
+      WHEN name IN {_sql_list(sorted(html.VOID_TAGS))} THEN 'other' WHEN ends_with(piece, '/>') OR regexp_matches(piece, '{html.RAW_END}') THEN 'whole' ELSE 'start' END AS kind,
+    CASE WHEN tag THEN []::varchar[] ELSE list_filter(regexp_split_to_array({_ENTITY.replace("text,", "piece,", 1)}, '[ \\x{{00A0}}\\t\\n\\r\\x{{2002}}\\x{{2003}}]+'), lambda x: x <> '') END AS ws
+  FROM (SELECT *, starts_with(piece, '<') AND piece <> '<' AS tag, lower(regexp_extract(piece, '{html.NAME}', 1)) AS name FROM (
+    SELECT page_id, generate_subscripts(ps, 1) AS i, unnest(ps) AS piece FROM (SELECT page_id, regexp_extract_all(html, '{_PIECE_SQL}') AS ps FROM pages)))),
+walk AS (
+  SELECT page_id, 0::bigint AS i, [{{'id': 0::bigint, 'tag': 'body'}}] AS stack, 0::bigint AS seen FROM pages
+  UNION ALL
+  SELECT w.page_id, p.i, CASE WHEN kind = 'start' THEN list_append(stack, {{'id': seen + 1, 'tag': name}})
+      WHEN kind = 'end' AND coalesce(list_position(list_transform({_INNER}, lambda e: e.tag), name), 0) BETWEEN 1 AND len(stack) - 1
+        THEN stack[1:len(stack) - list_position(list_transform({_INNER}, lambda e: e.tag), name)] ELSE stack END,
+    seen + CASE WHEN kind IN ('start', 'whole') THEN 1 ELSE 0 END
+  FROM walk w JOIN pieces p ON p.page_id = w.page_id AND p.i = w.i + 1),
+nodes AS MATERIALIZED (
+  SELECT page_id, i, ws, stack[-1].tag AS tag, coalesce(list_filter({_INNER}, lambda e: e.tag IN {_FIRST})[1], list_filter({_INNER}, lambda e: e.tag IN {_SECOND})[1], stack[-1]) AS par,
+    row_number() OVER before - 1 AS node, (coalesce(sum(len(ws)) OVER (before ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::bigint AS first
+  FROM walk JOIN pieces USING (page_id, i)
+  WHERE kind = 'text' AND len(ws) > 0 AND len(list_filter(stack, lambda e: e.tag IN {_sql_list(html.SKIPPED + html.EMPTIED)})) = 0
+  WINDOW before AS (PARTITION BY page_id ORDER BY i))"""
+
+
+@query("x8_html_nodes", f"""WITH {NODES_SQL}
+  SELECT page_id, unnest(ws) AS word, node, first + generate_subscripts(ws, 1) - 1 AS pos, tag, par.id AS paragraph, par.tag AS paragraph_tag FROM nodes""")
 def x8_nodes(t):
-    """The parser form: the same words as the expression form."""
-    return html.html_nodes(t.read("pages")).select("page_id", "pos", "word")
+    """Words with the element they stand in and their nearest paragraph element."""
+    return html.html_nodes(t.read("pages"))
 
 
-@query("x9_paragraph_of")
+@query("x9_paragraph_of", f"""WITH {NODES_SQL}
+  SELECT page_id, par.id AS paragraph, par.tag AS paragraph_tag, sum(len(ws))::bigint AS words, min(first) AS first, max(first + len(ws) - 1) AS last FROM nodes GROUP BY ALL""")
 def x9(t):
     return html.paragraph_of(t.read("pages"))

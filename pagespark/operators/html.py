@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +33,7 @@ def html_text(html: Column) -> Column:
         out = F.regexp_replace(out, rf"(?i)<{tag}\b[^>]*>[^<]*", " ")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
     out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    return decoded(out)
 
 
 def html_words(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
@@ -49,74 +45,117 @@ def html_words(pages: DataFrame, page: str = "page_id", html: str = "html") -> D
     )
 
 
-class _Nodes(HTMLParser):
-    """Text nodes of one page with their element and nearest paragraph element."""
+# Pieces of a page's source: comments, script and style with their content, end tags, start tags (a quoted
+# value may hold ">"), declarations, text. A "<" that opens none of these is a text of its own.
+PIECES = (
+    "<!--.*?-->", r"<script\b[^>]*>.*?</script\s*>", r"<style\b[^>]*>.*?</style\s*>", "</[a-z][^>]*>",
+    """<[a-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>""", "<[!?/][^>]*>", "[^<]+", "<",
+)
+PIECE = "(?is)" + "|".join(PIECES)
+NAME = r"^</?([A-Za-z][^\s/>]*)"
+RAW_END = r"(?is)^<(?:script|style)\b.*</(?:script|style)\s*>$"
+BLANK_RUN = "[" + "".join(f"\\x{{{ord(c):04X}}}" for c in BLANKS) + "]+"
+FOLD_PIECES = 256  # folded together; what they give is joined to the rest once
+
+_STACK = "array<struct<id:int,tag:string>>"
+_FOUND = "array<struct<piece:int,node:int,pos:bigint,tag:string,paragraph:int,paragraph_tag:string>>"
+
+
+def decoded(text: Column) -> Column:
+    """Text with the named entities of ENTITIES as characters."""
+    for entity, char in ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
+def text_words(text: Column) -> Column:
+    return F.filter(F.split(decoded(text), BLANK_RUN), lambda w: w != "")
+
+
+def _last_of(stack: Column, *choices: Sequence[str]) -> Column:
+    """The innermost open element of the first choice that has one, else the innermost of all."""
+    inner = F.reverse(stack)
+
+    def first(choice: Sequence[str]) -> Column:
+        return F.get(F.filter(inner, lambda e: e["tag"].isin(*choice)), 0)
+
+    return F.coalesce(*[first(c) for c in choices], F.get(inner, 0))
+
+
+def _piece_kinds(pieces: Column) -> Column:
+    """kind (text, start, end, whole, other), name and number of words of each piece; ``whole`` is an element without content."""
+
+    def one(piece: Column, i: Column) -> Column:
+        name = F.lower(F.regexp_extract(piece, NAME, 1))
+        tag = piece.startswith("<") & (piece != "<")
+        kind = (
+            F.when(~tag, "text").when(name == "", "other").when(piece.startswith("</"), "end")
+            .when(name.isin(*sorted(VOID_TAGS)), "other").when(piece.endswith("/>") | piece.rlike(RAW_END), "whole").otherwise("start"))
+        words = F.when(~tag, F.size(text_words(piece))).otherwise(0)
+        return F.struct(kind.alias("kind"), name.alias("name"), words.alias("words"), i.alias("piece"))
+
+    return F.transform(pieces, one)
+
+
+def _fold(kinds: Column) -> Column:
+    """Text pieces with words outside hidden elements, each with its place, element and paragraph.
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.open: list[tuple[int, str]] = [(0, "body")]
-        self.seen = 0
-        self.nodes: list[tuple[str, str, int, str]] = []
+    The fold keeps the open elements. An end tag closes up to the innermost element of its name and
+    does nothing where none is open."""
 
-    def handle_starttag(self, tag, attrs):
-        if tag in VOID_TAGS:
-            return
-        self.seen += 1
-        self.open.append((self.seen, tag))
+    def state(stack: Column, seen: Column, node: Column, pos: Column, found: Column) -> Column:
+        return F.struct(stack.cast(_STACK).alias("stack"), seen.cast("int").alias("seen"), node.cast("int").alias("node"),
+                        pos.cast("bigint").alias("pos"), found.cast(_FOUND).alias("found"))
 
-    def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][1] == tag:
-                del self.open[i:]
-                return
+    def step(s: Column, p: Column) -> Column:
+        stack, kind = s["stack"], p["kind"]
+        depth = F.array_position(F.reverse(F.transform(stack, lambda e: e["tag"])), p["name"])
+        closed = F.slice(stack, F.lit(1), F.size(stack) - depth.cast("int"))
+        opened = F.concat(stack, F.array(F.struct((s["seen"] + 1).alias("id"), p["name"].alias("tag"))))
+        shown = (kind == "text") & (p["words"] > 0) & ~F.exists(stack, lambda e: e["tag"].isin(*SKIPPED, *EMPTIED))
+        paragraph = _last_of(stack, *PARAGRAPH_TAGS)
+        new = F.struct(p["piece"].cast("int").alias("piece"), s["node"].alias("node"), s["pos"].alias("pos"), F.get(stack, F.size(stack) - 1)["tag"].alias("tag"),
+                       paragraph["id"].alias("paragraph"), paragraph["tag"].alias("paragraph_tag"))
+        return state(
+            F.when(kind == "start", opened).when((kind == "end") & (depth > 0) & (depth < F.size(stack)), closed).otherwise(stack),
+            s["seen"] + F.when(kind.isin("start", "whole"), 1).otherwise(0), s["node"] + shown.cast("int"),
+            s["pos"] + F.when(shown, p["words"]).otherwise(0),
+            F.when(shown, F.concat(s["found"], F.array(new))).otherwise(s["found"]))
 
-    def paragraph(self) -> tuple[int, str]:
-        for choice in PARAGRAPH_TAGS:
-            for element in reversed(self.open):
-                if element[1] in choice:
-                    return element
-        return self.open[-1]
+    def part(s: Column, first: Column) -> Column:
+        empty = state(s["stack"], s["seen"], s["node"], s["pos"], F.array())
+        after = F.aggregate(F.slice(kinds, first + 1, F.lit(FOLD_PIECES)), empty, step)
+        return F.struct(after["stack"].alias("stack"), after["seen"].alias("seen"), after["node"].alias("node"), after["pos"].alias("pos"),
+                        F.concat(s["found"], F.array(after["found"])).alias("found"))
 
-    def handle_data(self, data):
-        if data and not any(tag in SKIPPED + EMPTIED for _, tag in self.open):
-            self.nodes.append((data, self.open[-1][1], *self.paragraph()))
+    body = F.array(F.struct(F.lit(0).alias("id"), F.lit("body").alias("tag"))).cast(_STACK)
+    start = F.struct(body.alias("stack"), F.lit(0).alias("seen"), F.lit(0).alias("node"), F.lit(0).cast("bigint").alias("pos"),
+                     F.array().cast(f"array<{_FOUND}>").alias("found"))
+    firsts = F.sequence(F.lit(0), F.greatest(F.size(kinds) - 1, F.lit(0)), F.lit(FOLD_PIECES))
+    return F.flatten(F.aggregate(firsts, start, part, lambda s: s["found"]))
 
 
-NODE_SCHEMA = "word string, node bigint, pos bigint, tag string, paragraph bigint, paragraph_tag string"
+def text_nodes(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
+    """One row per text with words: its node number, the place ``pos`` of its first word on the page, ``text``, the
+    element it stands in and the nearest paragraph element, whose numbers count start tags."""
+    pieces = pages.select(page, F.regexp_extract_all(F.col(html), F.lit(PIECE), F.lit(0)).alias("pieces"))
+    found = pieces.withColumn("kinds", _piece_kinds(F.col("pieces"))).select(page, "pieces", F.explode(_fold(F.col("kinds"))).alias("f"))
+    return found.select(page, F.col("f.node").cast("bigint").alias("node"), "f.pos", F.get("pieces", F.col("f.piece")).alias("text"),
+                        "f.tag", F.col("f.paragraph").cast("bigint").alias("paragraph"), "f.paragraph_tag")
 
 
 def html_nodes(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
     """Words numbered by page and text node, each with the element it stands in and
-    the nearest paragraph element. One pass over each page's source."""
-    blanks = str.maketrans({c: " " for c in BLANKS})
-
-    def words_of(source: str) -> Iterator[tuple]:
-        parser = _Nodes()
-        parser.feed(source)
-        parser.close()
-        pos = 0
-        for node, (data, tag, paragraph, paragraph_tag) in enumerate(parser.nodes):
-            for word in data.translate(blanks).split(" "):
-                if word:
-                    yield word, node, pos, tag, paragraph, paragraph_tag
-                    pos += 1
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [page, *(part.split()[0] for part in NODE_SCHEMA.split(", "))]
-        for batch in batches:
-            for key, source in zip(batch[page], batch[html]):
-                rows = [(key, *row) for row in words_of(source or "")]
-                if rows:
-                    yield pd.DataFrame(rows, columns=columns)
-
-    key_type = pages.schema[page].dataType.simpleString()
-    return pages.select(page, html).mapInPandas(run, f"{page} {key_type}, {NODE_SCHEMA}")
+    the nearest paragraph element."""
+    words = text_nodes(pages, page, html).select("*", F.posexplode(text_words(F.col("text"))).alias("_at", "word"))
+    return words.select(page, "word", "node", (F.col("pos") + F.col("_at")).alias("pos"), "tag", "paragraph", "paragraph_tag")
 
 
 def paragraph_of(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
     """Word counts and span of places of each paragraph element."""
-    return html_nodes(pages, page, html).groupBy(page, "paragraph", "paragraph_tag").agg(
-        F.count("*").alias("words"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    nodes = text_nodes(pages, page, html).withColumn("_n", F.size(text_words(F.col("text"))).cast("bigint"))
+    return nodes.groupBy(page, "paragraph", "paragraph_tag").agg(
+        F.sum("_n").alias("words"), F.min("pos").alias("first"), F.max(F.col("pos") + F.col("_n") - 1).alias("last"))
 
 
 def extract_links(pages: DataFrame, prefix: str = "/", page: str = "page_id", html: str = "html",

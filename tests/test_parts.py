@@ -220,3 +220,19 @@ def test_box_minus_keeps_the_part_before_or_else_after(spark):
     df = spark.createDataFrame([(0, 0, 9, 9, 4, 3, 6, 5), (4, 3, 9, 9, 4, 3, 6, 5), (0, 3, 9, 9, 4, 1, 6, 5)], sides)
     rest = B.box_minus(Box.of(), Box.of("o_"))
     assert [tuple(r) for r in df.select(*rest.sides).collect()] == [(0, 0, 3, 2), (7, 6, 9, 9), (0, 6, 3, 9)]
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 256])
+def test_paragraph_fold_over_awkward_markup(spark, monkeypatch, chunk):
+    monkeypatch.setattr(html, "FOLD_PIECES", chunk)
+    page = ('<p>one</b> two<br/><a title="x>y</p>">three</a><script>var t="</p><li>";</script><custom/>four</P><LI>five<table><td>six'
+            "</li>seven<style>p{}</style><!-- <p>no --> 1 < 2 <noscript>no<p>no</p></noscript><p>eight</dl></p></p>nine</body></html>ten<p")
+    df = spark.createDataFrame([(1, page), (2, ""), (3, None), (4, "<p></p>")], "page_id bigint, html string")
+    nodes = html.html_nodes(df)
+    got = [(r.word, r.tag, r.paragraph_tag, r.paragraph) for r in nodes.orderBy("page_id", "pos").collect()]
+    assert got == [
+        ("one", "p", "p", 1), ("two", "p", "p", 1), ("three", "a", "p", 1), ("four", "p", "p", 1), ("five", "li", "li", 5), ("six", "td", "td", 7),
+        ("seven", "body", "body", 0), ("1", "body", "body", 0), ("<", "body", "body", 0), ("2", "body", "body", 0), ("eight", "p", "p", 11),
+        ("nine", "body", "body", 0), ("ten", "body", "body", 0), ("<", "body", "body", 0), ("p", "body", "body", 0)]
+    assert [r.pos for r in nodes.orderBy("pos").collect()] == list(range(len(got)))
+    assert "Python" not in nodes._jdf.queryExecution().executedPlan().toString()
