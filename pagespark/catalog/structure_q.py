@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from pagespark.catalog import greedy_sql
 from pagespark.catalog.joins_q import CHOICE_SQL, MEET, READINGS_SQL, SAME, choices, readings
 from pagespark.catalog.registry import query
 from pagespark.catalog.support import LINE, PAGE, P, SIDES_SQL, area, big, envelope_aggs, inter, iou_1d, r6, total, v_iou
@@ -245,13 +246,16 @@ def loose_paragraphs(t):
         "par", F.when(hash_pick(30, "L", F.concat_ws("|", *LINE)) == 0, F.col("par") + 20).otherwise(F.col("par")))
 
 
-@query("p13_resolve_overlaps")
+_RESOLVED = {compat: greedy_sql.resolve_sql(compat) for compat in (False, True)}
+
+
+@query("p13_resolve_overlaps", with_tables(_RESOLVED[False][0], "two_col", recursive=True, extra=_RESOLVED[False][1]))
 def p13(t):
     kept = resolve_overlaps(loose_paragraphs(t).withColumnRenamed("par", "source"), PAGE, "source", "tag")
     return kept.groupBy(*PAGE, "par").agg(*envelope_aggs(), F.count("*").alias("n"))
 
 
-@query("p13_resolve_overlaps_compat")
+@query("p13_resolve_overlaps_compat", with_tables(_RESOLVED[True][0], "two_col", recursive=True, extra=_RESOLVED[True][1]))
 def p13_compat(t):
     kept = resolve_overlaps(loose_paragraphs(t).withColumnRenamed("par", "source"), PAGE, "source", "tag", compat=True)
     return kept.groupBy(*PAGE, "par").agg(*envelope_aggs(), F.count("*").alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -101,32 +102,80 @@ def _free_cut(boxes: np.ndarray, other: np.ndarray) -> int:
     return int(cuts[0]) + 1 if len(cuts) else 0
 
 
-def _one_round(parts: list[np.ndarray], boxes: np.ndarray, compat: bool) -> list[np.ndarray] | None:
-    """Paragraphs (arrays of word rows) after one round; None when nothing changed."""
-    hulls = [_hull(boxes[p]) for p in parts]
-    gone: set[int] = set()
-    added: list[np.ndarray] = []
-    todo = [(i, j) for i in range(len(parts)) for j in range(i + 1, len(parts)) if _shared(hulls[i], hulls[j])]
-    for i, j in todo:
-        if i in gone or j in gone:
-            continue
-        shared, area_i, area_j = _shared(hulls[i], hulls[j]), _area(hulls[i]), _area(hulls[j])
-        measure = shared / (area_i + area_j - shared) if compat else shared
-        if area_i >= area_j and measure >= 0.95 * area_j:
-            gone.add(j)
-        elif area_j >= area_i and measure >= 0.95 * area_i:
-            gone.add(i)
-    for i, j in todo:
-        if i in gone or j in gone:
-            continue
-        for a, b in ((i, j), (j, i)):
-            cut = _free_cut(boxes[parts[a]], hulls[b])
-            if cut:
-                added += [parts[a][:cut], parts[a][cut:]]
-                gone.add(a)
-    if not gone and not added:
-        return None
-    return [p for k, p in enumerate(parts) if k not in gone] + added
+class IntervalIndex:
+    """Boxes by their tops and bottoms, kept sorted while boxes come and go; gives those that share a pixel with one."""
+
+    def __init__(self) -> None:
+        self.boxes: dict[int, np.ndarray] = {}
+        self.tops: list[tuple[int, int]] = []
+        self.bottoms: list[tuple[int, int]] = []
+
+    def add(self, name: int, box: np.ndarray) -> None:
+        self.boxes[name] = box
+        insort(self.tops, (int(box[1]), name))
+        insort(self.bottoms, (int(box[3]), name))
+
+    def remove(self, name: int) -> None:
+        box = self.boxes.pop(name)
+        del self.tops[bisect_left(self.tops, (int(box[1]), name))]
+        del self.bottoms[bisect_left(self.bottoms, (int(box[3]), name))]
+
+    def meeting(self, box: np.ndarray) -> list[int]:
+        """Names of the boxes that share a pixel with ``box``, in order: of those that begin above its end and
+        those that end below its begin the fewer are looked at."""
+        begun = bisect_right(self.tops, (int(box[3]), float("inf")))
+        ended = bisect_left(self.bottoms, (int(box[1]), -1))
+        few = self.tops[:begun] if begun <= len(self.bottoms) - ended else self.bottoms[ended:]
+        return sorted(name for _, name in few if _shared(self.boxes[name], box))
+
+
+class Overlaps:
+    """The paragraphs of a page, by names that grow, and the pairs of them that meet."""
+
+    def __init__(self, parts: list[np.ndarray], boxes: np.ndarray):
+        self.words = boxes
+        self.parts: dict[int, np.ndarray] = {}
+        self.index = IntervalIndex()
+        self.pairs: list[tuple[int, int]] = []
+        self.last = -1
+        self.change([], parts)
+
+    def change(self, gone: Sequence[int], added: list[np.ndarray]) -> None:
+        lost = set(gone)
+        self.pairs = [pair for pair in self.pairs if not lost.intersection(pair)]
+        for name in gone:
+            self.index.remove(name)
+            del self.parts[name]
+        for part in added:
+            self.last += 1
+            hull = _hull(self.words[part])
+            self.pairs += [(other, self.last) for other in self.index.meeting(hull)]
+            self.parts[self.last] = part
+            self.index.add(self.last, hull)
+        self.pairs.sort()
+
+    def settle(self, compat: bool) -> bool:
+        """One round: contained paragraphs go, then paragraphs are cut where that frees both parts. Whether anything changed."""
+        hulls, gone, added = self.index.boxes, set(), []
+        for i, j in self.pairs:
+            if i in gone or j in gone:
+                continue
+            shared, area_i, area_j = _shared(hulls[i], hulls[j]), _area(hulls[i]), _area(hulls[j])
+            measure = shared / (area_i + area_j - shared) if compat else shared
+            if area_i >= area_j and measure >= 0.95 * area_j:
+                gone.add(j)
+            elif area_j >= area_i and measure >= 0.95 * area_i:
+                gone.add(i)
+        for i, j in self.pairs:
+            if i in gone or j in gone:
+                continue
+            for a, b in ((i, j), (j, i)):
+                cut = _free_cut(self.words[self.parts[a]], hulls[b])
+                if cut:
+                    added += [self.parts[a][:cut], self.parts[a][cut:]]
+                    gone.add(a)
+        self.change(sorted(gone), added)
+        return bool(gone)
 
 
 def resolve_overlaps(words: DataFrame, page: Sequence[str], paragraph: str, order: str, compat: bool = False,
@@ -143,11 +192,11 @@ def resolve_overlaps(words: DataFrame, page: Sequence[str], paragraph: str, orde
         for start, end in spans(starts, table.num_rows):
             inner = begins[(begins >= start) & (begins < end)]
             parts = [np.arange(a, b) for a, b in zip(inner, np.append(inner[1:], end))]
+            page_parts = Overlaps(parts, boxes)
             for _ in range(rounds):
-                changed = _one_round(parts, boxes, compat)
-                if changed is None:
+                if not page_parts.settle(compat):
                     break
-                parts = changed
+            parts = list(page_parts.parts.values())
             rows += parts
             places += [np.full(len(p), i) for i, p in enumerate(parts)]
         flat = lambda arrays: np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.int64)
