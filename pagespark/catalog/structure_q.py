@@ -72,13 +72,16 @@ def _sublines(t, threshold=0.7):
     return subs.withColumn("line", F.col("row_no") * 100 + F.col("subline")).withColumn("tag", F.concat_ws("/", "tag", "subline"))
 
 
-@query("p2_split_sublines_loose")
+@query("p2_split_sublines_loose", with_tables(greedy_sql.LOOSE_LINES_BODY, "detections", recursive=True, extra=greedy_sql.sublines_sql(0.1)))
 def p2_loose(t):
     """Sub-lines with the low threshold, over doubled detections."""
     return _sublines(t, 0.1).groupBy(*LINE, "subline").agg(*envelope_aggs(), F.count("*").alias("n"))
 
 
-@query("p3_absorb_lines")
+_ABSORBED = greedy_sql.absorb_sql()
+
+
+@query("p3_absorb_lines", with_tables(_ABSORBED[0], "detections", recursive=True, extra=_ABSORBED[1]))
 def p3(t):
     kept = folds.absorb_lines(_sublines(t), PAGE, "line")
     return kept.groupBy(*PAGE, "new_line").agg(*envelope_aggs(), F.count("*").alias("n"))
@@ -161,7 +164,7 @@ def p5(t):
                                     total((F.col("cluster") + 1) * F.col("n")).alias("weight"))
 
 
-@query("p6_paragraph_boxes")
+@query("p6_paragraph_boxes", with_tables(greedy_sql.COLUMNS_BODY, "two_col", recursive=True, extra=greedy_sql.COLUMNS_SQL))
 def p6(t):
     lines = layout_lines(t)
     return folds.paragraph_boxes(lines, folds.x_clusters(lines, PAGE, "line"), PAGE)
