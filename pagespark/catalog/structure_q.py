@@ -87,8 +87,9 @@ def p3(t):
     return kept.groupBy(*PAGE, "new_line").agg(*envelope_aggs(), F.count("*").alias("n"))
 
 
-@query("p4_suppress")
+@query("p4_suppress", with_tables(greedy_sql.SUPPRESS_BODY, "detections", recursive=True, extra=greedy_sql.SUPPRESS_SQL))
 def p4(t):
+    """The oracle uses that boxes of different rows never meet by half."""
     boxes = t.detections.select(*PAGE, F.concat_ws("|", "tag", "k").alias("key"), *SIDES)
     left = suppress(boxes, PAGE, "key", ["size_based_nms", "area_threshold", "length_threshold"],
                     {"intersection_thr": 0.5, "area_threshold": 300, "length_threshold": 5})
