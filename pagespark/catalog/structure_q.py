@@ -177,12 +177,12 @@ def _headers(t, compat):
     return layout.headers_footers(lines, boxes, PAGE, "line", compat).select(*PAGE, "line", "par", "role", "moved")
 
 
-@query("p7_headers_footers")
+@query("p7_headers_footers", with_tables(greedy_sql.HEADERS_BODY, "two_col", recursive=True, extra=greedy_sql.headers_sql(False)))
 def p7(t):
     return _headers(t, False)
 
 
-@query("p7_headers_footers_compat")
+@query("p7_headers_footers_compat", with_tables(greedy_sql.HEADERS_BODY, "two_col", recursive=True, extra=greedy_sql.headers_sql(True)))
 def p7_compat(t):
     return _headers(t, True)
 
@@ -217,12 +217,12 @@ def p9(t):
     return folds.reading_bands(boxes, PAGE, "par", ["par"]).select(*PAGE, "par", "band", "rank")
 
 
-@query("p10_extract_layout")
+@query("p10_extract_layout", with_tables(f"SELECT {P}, string_agg(text, chr(10) ORDER BY rank) AS text FROM blocks GROUP BY {P}", "two_col", recursive=True, extra=greedy_sql.blocks_sql()))
 def p10(t):
     return layout.extract_layout(layout_lines(t), layout_words(t), PAGE, "line")
 
 
-@query("p10_layout_blocks")
+@query("p10_layout_blocks", with_tables("SELECT * FROM blocks", "two_col", recursive=True, extra=greedy_sql.blocks_sql()))
 def p10_blocks(t):
     return layout.extract_layout(layout_lines(t), layout_words(t), PAGE, "line", as_text=False)
 
@@ -234,12 +234,14 @@ def run_words(t):
     return words.withColumn("paragraph", big(F.floor(F.col("row_no") / 5)) - strayed)
 
 
-@query("w4_paragraph_runs", with_tables(f"""
-  SELECT {P}, s AS run, count(*) AS n FROM starts JOIN rw USING (doc_id, page_no) WHERE place BETWEEN s AND e GROUP BY ALL""", "words", recursive=True, extra=f"""
-  rw AS MATERIALIZED (SELECT *, max(place) OVER (PARTITION BY {P}, paragraph) AS last FROM (SELECT {P}, row_number() OVER (PARTITION BY {P} ORDER BY row_no, l, tag) - 1 AS place,
+RUNS_SQL = f"""rw AS MATERIALIZED (SELECT *, max(place) OVER (PARTITION BY {P}, paragraph) AS last FROM (SELECT {P}, l, t, r, b, row_number() OVER (PARTITION BY {P} ORDER BY row_no, l, tag) - 1 AS place,
     row_no//5 - CASE WHEN row_no >= 5 AND {h("concat('W|',tag)")} % 40 = 0 THEN 1 ELSE 0 END AS paragraph FROM words)),
   starts AS (SELECT {P}, place AS s, last AS e FROM rw WHERE place = 0
-    UNION ALL SELECT rw.doc_id, rw.page_no, rw.place, rw.last FROM starts x JOIN rw ON rw.doc_id = x.doc_id AND rw.page_no = x.page_no AND rw.place = x.e + 1)"""))
+    UNION ALL SELECT rw.doc_id, rw.page_no, rw.place, rw.last FROM starts x JOIN rw ON rw.doc_id = x.doc_id AND rw.page_no = x.page_no AND rw.place = x.e + 1)"""
+
+
+@query("w4_paragraph_runs", with_tables(f"""
+  SELECT {P}, s AS run, count(*) AS n FROM starts JOIN rw USING (doc_id, page_no) WHERE place BETWEEN s AND e GROUP BY ALL""", "words", recursive=True, extra=RUNS_SQL))
 def w4(t):
     return folds.paragraph_runs(run_words(t), PAGE, "place", "paragraph").groupBy(*PAGE, "run").agg(F.count("*").alias("n"))
 
@@ -265,7 +267,10 @@ def p13_compat(t):
     return kept.groupBy(*PAGE, "par").agg(*envelope_aggs(), F.count("*").alias("n"))
 
 
-@query("p14_label_layout")
+_LABELLED = greedy_sql.label_sql(f"SELECT {P}, s AS run, place AS ord, l, t, r, b FROM starts JOIN rw USING (doc_id, page_no) WHERE place BETWEEN s AND e")
+
+
+@query("p14_label_layout", with_tables(_LABELLED[0], "words", recursive=True, extra=RUNS_SQL + ",\n" + _LABELLED[1]))
 def p14(t):
     return layout.label_layout(run_words(t), PAGE, "place", "paragraph")
 
