@@ -556,14 +556,17 @@ def n12(t):
     return t.documents.select("doc_id", N.pick_token(F.col("text"), "token", F.col("doc_id")).alias("token"))
 
 
-@query("w10_fill_text", with_tables(f"""
+@query("w10_fill_text", with_tables("""
   SELECT doc_id, target, arg_min(text, k) AS text FROM (
-    SELECT doc_id, target, k, array_to_string(list_slice(ws, 1, k), ' ') AS text, length(array_to_string(list_slice(ws, 1, k), ' ')) AS n
-    FROM (SELECT *, unnest(range(1, len(ws))) AS k FROM told)) WHERE n >= target GROUP BY ALL""", extra=_SENTENCES + f""",
-  drawn AS MATERIALIZED (SELECT doc_id, target, turn, {h("concat('fill|',doc_id,'|',turn)")} % (SELECT count(*) FROM sent) AS i
-    FROM (SELECT doc_id, 1 + n_chars % 180 AS target FROM documents), (SELECT unnest(range(0,24)) AS turn)),
-  told AS MATERIALIZED (SELECT doc_id, target, flatten(list(CASE WHEN {h("concat('fill-skip|',doc_id,'|',turn)")} % 2 = 0 AND len(ws) > 1 THEN ws[2:] ELSE ws END ORDER BY turn))[1:220] AS ws
-    FROM (SELECT d.*, string_split(replace(s.text, chr(9), ' '), ' ') AS ws FROM drawn d JOIN sent s USING (i)) GROUP BY ALL)"""))
+    SELECT doc_id, target, k, array_to_string(ws[1:k], ' ') AS text FROM (
+      SELECT *, sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS n FROM (
+        SELECT doc_id, target, ws, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM fillwalk WHERE chars >= target)) WHERE n >= target)
+  GROUP BY ALL""", recursive=True, extra=_SENTENCES + f""",
+  fillwalk AS (SELECT doc_id, 1 + n_chars % 180 AS target, 0::bigint AS turn, []::varchar[] AS ws, -1::bigint AS chars FROM documents
+    UNION ALL SELECT doc_id, target, turn + 1, list_concat(ws, new), chars + list_sum(list_transform(new, lambda w: length(w) + 1))::bigint
+    FROM (SELECT d.*, CASE WHEN {h("concat('fill-skip|',doc_id,'|',turn)")} % 2 = 0 AND len(parts) > 1 THEN parts[2:] ELSE parts END AS new
+      FROM (SELECT *, {h("concat('fill|',doc_id,'|',turn)")} % (SELECT count(*) FROM sent) AS i FROM fillwalk WHERE chars < target) d
+      JOIN (SELECT i, string_split(replace(text, chr(9), ' '), ' ') AS parts FROM sent) s USING (i)))"""))
 def w10(t):
     slots = t.read("documents").select("doc_id", (1 + F.col("n_chars") % 180).alias("target"))
     corpus = O.global_ids(sentences(t), ["doc_id"], ["line_no"], "id")

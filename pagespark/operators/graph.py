@@ -26,16 +26,17 @@ def crawl_frontier(links: DataFrame, start: int, depth: int = 14, breadth: int =
     """Pages reached from ``start`` with the depth at which each is first met.
 
     All levels together hold fewer than ``breadth ** (depth + 1)`` pages whatever the size
-    of the link table. Each level is written before the next is begun, so its joins are
-    planned from the size it has.
+    of the link table. Only the links of a level's pages are ranked: the level, small by
+    that bound, is sent to the links and they are filtered where they lie. Each level is
+    written before the next is begun, so its joins are planned from the size it has.
     """
     spark = links.sparkSession
-    picked = written(picked_links(links, breadth, seed), "picked")
+    links = written(links.select("src", "dst"), "links")
     seen = spark.range(1).select(F.lit(start).cast("bigint").alias("page_id"), F.lit(0).cast("bigint").alias("depth"))
     level = seen.select("page_id")
     for d in range(1, depth + 1):
-        step = picked.join(level.withColumnRenamed("page_id", "src"), "src").select(
-            F.col("dst").alias("page_id")).distinct()
+        own = links.join(F.broadcast(level.withColumnRenamed("page_id", "src")), "src", "left_semi")
+        step = picked_links(own, breadth, seed).select(F.col("dst").alias("page_id")).distinct()
         level = written(step.join(seen.select("page_id"), "page_id", "left_anti"), "level")
         if level.isEmpty():
             break

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagespark.functions.hashing import hash_int, hash_pick, hash_unit
-from pagespark.functions.text import Language, accepts, clean_text, max_length
+from pagespark.functions.text import TABLE_MARKER, Language, accepts, clean_text, max_length
 from pagespark.operators.joins import GROWING
 from pagespark.operators.order import row_total
 from pagespark.operators.splits import cycle_to
@@ -200,33 +200,51 @@ def pick_token(text: Column, *key: Column | str) -> Column:
     return F.get(tokens, hash_pick(F.size(tokens).cast("bigint"), *key).cast("int"))
 
 
+def _reached(words: Column, target: Column) -> Column:
+    """Words of the shortest prefix that, cleaned, has ``target`` characters; null where none has. One pass."""
+
+    def step(s: Column, word: Column) -> Column:
+        piece = F.translate(F.when(s["seen"] > 0, F.concat(F.lit(" "), word)).otherwise(word), "\n\t", "  ")
+        window = F.concat(s["tail"], piece)  # a marker may begin in the words before
+        gone = F.length(window) - F.length(F.replace(window, F.lit(TABLE_MARKER), F.lit("")))
+        length, seen = s["length"] + F.length(piece) - gone, s["seen"] + 1
+        return F.struct(length.cast("bigint").alias("length"), seen.cast("int").alias("seen"),
+                        F.right(window, F.lit(len(TABLE_MARKER) - 1)).alias("tail"),
+                        F.coalesce(s["at"], F.when(length >= target, seen)).cast("int").alias("at"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("length"), F.lit(0).alias("seen"), F.lit("").alias("tail"), F.lit(None).cast("int").alias("at"))
+    return F.aggregate(words, start, step, lambda s: s["at"])
+
+
 def fill_text(slots: DataFrame, slot: str, target: str, corpus: DataFrame, seed: str = "fill", draws: int = 4) -> DataFrame:
     """Text of at least ``target`` characters for each slot: the shortest word prefix of
-    drawn sentences that reaches it, the whole of them excepted. ``corpus`` holds
-    (id, text) with dense ids. Every second sentence, on a coin, starts at its second
-    word. Slots not filled draw twice as many sentences in the next round; draws depend
-    on slot and turn only, so earlier ones stay the same."""
+    drawn sentences that reaches it. ``corpus`` holds (id, text) with dense ids. Every
+    second sentence, on a coin, starts at its second word. Draws are made in blocks: slots
+    not filled draw twice as many sentences in the next round, so a slot's work grows with
+    its text; draws depend on slot and turn only, so earlier ones stay the same. Without a
+    corpus or a target there is no text (null); a null sentence is an empty one."""
+    corpus = corpus.select("id", F.coalesce("text", F.lit("")).alias("text"))
+    slots = slots.select(slot, target)
+    nothing = slots.withColumn("text", F.lit(None).cast("string"))
+    if corpus.isEmpty():
+        return nothing
     total = row_total(corpus)
-    filled = None
-    open_slots = slots
+    filled = nothing.filter(F.col(target).isNull())
+    open_slots = slots.filter(F.col(target).isNotNull())
     while True:
         turns = F.sequence(F.lit(0).cast("bigint"), F.lit(draws - 1).cast("bigint"))
         drawn = open_slots.withColumn("_turn", F.explode(turns)).withColumn(
             "id", hash_pick(total, seed, F.col(slot), F.col("_turn")))
         words = F.split("text", " ")
         later = (hash_pick(2, seed + "-skip", F.col(slot), F.col("_turn")) == 0) & (F.size(words) > 1)
-        told = drawn.join(corpus.select("id", "text"), "id").select(
+        told = drawn.join(corpus, "id").select(
             slot, target, "_turn", F.when(later, F.slice(words, 2, F.size(words))).otherwise(words).alias("_words"))
         gathered = told.groupBy(slot, target).agg(F.array_sort(F.collect_list(F.struct("_turn", "_words"))).alias("_all"))
         line = gathered.withColumn("_line", F.flatten(F.transform("_all", lambda x: x["_words"]))).drop("_all")
-        reach = F.sequence(F.lit(1), F.greatest(F.size("_line") - 1, F.lit(1)))
-        fits = F.filter(reach, lambda k: (k < F.size("_line")) & (
-            F.length(clean_text(F.slice("_line", 1, k))) >= F.col(target)))
-        done = line.withColumn("_k", F.get(fits, 0)).withColumn(
-            "text", F.when(F.col("_k").isNotNull(), clean_text(F.slice("_line", 1, F.col("_k"))))).drop("_line", "_k")
+        done = line.withColumn("_k", _reached(F.col("_line"), F.col(target))).withColumn(
+            "text", F.when(F.col("_k").isNotNull(), clean_text(F.slice("_line", F.lit(1), F.col("_k"))))).drop("_line", "_k")
         done = written(done, "filled")
-        ready = done.filter(F.col("text").isNotNull())
-        filled = ready if filled is None else filled.unionByName(ready)
+        filled = filled.unionByName(done.filter(F.col("text").isNotNull()))
         open_slots = done.filter(F.col("text").isNull()).drop("text")
         if open_slots.isEmpty():
             return filled

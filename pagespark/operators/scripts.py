@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagespark.session import written
+
 from pagespark.functions.scores import linear_score
 
 
@@ -64,17 +66,25 @@ def bigram_counts(texts: DataFrame, keys: Sequence[str], text: str = "text") ->
     return chars.select(*keys, F.explode(grams).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("n"))
 
 
-def language_scores(counts: DataFrame, key: str, model: DataFrame) -> DataFrame:
+MODEL_GRAMS = 1 << 20  # rows of a model that are sent to every task, some 50 MB
+
+
+def language_scores(counts: DataFrame, key: str, model: DataFrame, most: int = MODEL_GRAMS) -> DataFrame:
     """Probability of each language of the model for each text. ``counts`` is (key, gram,
     n), ``model`` (lang, gram, n): add-one smoothed log-likelihood, then softmax. Pairs
-    not in the model add the smoothing term only, which depends on the language alone."""
+    not in the model add the smoothing term only, which depends on the language alone.
+    The model goes to the counts, which never move by gram: a gram of every text is no hot
+    key. A model of more than ``most`` rows raises."""
+    model = written(model.select("lang", "gram", "n"), "model")
+    if model.limit(most + 1).count() > most:
+        raise ValueError(f"a model of two-letter sequences has at most {most} rows")
     vocabulary = model.agg(F.count_distinct("gram").alias("v")).scalar()
     totals = model.groupBy("lang").agg(F.sum("n").alias("total")).agg(
         F.sort_array(F.collect_list(F.struct("lang", "total"))).alias("t")).scalar()
     lengths = counts.groupBy(key).agg(F.sum("n").alias("length")).withColumn("_l", F.explode(totals))
     base = lengths.select(key, F.col("_l.lang").alias("lang"),
                           (-F.col("length") * F.log(F.col("_l.total") + vocabulary)).alias("base"))
-    known = counts.join(model.withColumnRenamed("n", "m"), "gram").groupBy(key, "lang").agg(
+    known = counts.join(F.broadcast(model.withColumnRenamed("n", "m")), "gram").groupBy(key, "lang").agg(
         F.sum(F.col("n") * F.log(F.col("m") + 1.0)).alias("known"))
     scored = base.join(known, [key, "lang"], "left").select(
         key, "lang", (F.col("base") + F.coalesce("known", F.lit(0.0))).alias("ll"))

@@ -60,15 +60,34 @@ def combine_datasets(datasets: dict[str, DataFrame], sample: str, files: DataFra
     return ids.withColumn("split", hash_split(F.col(split_key or sample), share, seed))
 
 
+COPIES = 1 << 18  # of a row that one task makes together
+
+
+def _copied(df: DataFrame, copies: Column, column: str) -> DataFrame:
+    """Each row ``copies`` times, numbered from 0. Up to COPIES of them are made where the row lies; more are
+    made by pieces, which are dealt out over all tasks first, so that one row may have any number."""
+    pieces = F.ceil(copies / F.lit(COPIES)).cast("bigint")
+    sized = df.withColumn("_copies", copies).filter(F.col("_copies") > 0)
+    few = sized.filter(F.col("_copies") <= COPIES).withColumn("_piece", F.lit(0).cast("bigint"))
+    many = sized.filter(F.col("_copies") > COPIES).withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), pieces - 1)))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = few.unionByName(many.repartition(parts))
+    first = F.col("_piece") * COPIES
+    turns = F.sequence(first, F.least(first + COPIES, F.col("_copies")) - 1)
+    return whole.withColumn(column, F.explode(turns)).drop("_copies", "_piece")
+
+
 def cycle_to(df: DataFrame, n: Column, position: str = "id") -> DataFrame:
-    """Rows of a numbered set taken in turn until there are ``n``; each row makes its
-    own copies, so nothing is shuffled."""
+    """Rows of a numbered set taken in turn until there are ``n``: a row's copies stand at its
+    place and then each time the whole set has passed."""
     total = row_total(df)
-    turns = F.when(F.col(position) < n, F.sequence(F.col(position), n - 1, total)).otherwise(F.array().cast("array<bigint>"))
-    return df.withColumn("slot", F.explode(turns))
+    copies = F.ceil((n - F.col(position)) / total.cast("double")).cast("bigint")
+    exact = F.when(F.col(position) + (copies - 1) * total >= n, copies - 1).when(F.col(position) + copies * total < n, copies + 1).otherwise(copies)
+    turned = _copied(df.withColumn("_n", exact), F.col("_n"), "_turn").drop("_n")
+    return turned.withColumn("slot", F.col(position) + F.col("_turn") * total).drop("_turn")
 
 
 def repeat_to(df: DataFrame, n: Column) -> DataFrame:
     """Whole copies of a set until it is at least ``n`` rows long."""
     copies = F.greatest(F.ceil(n / row_total(df)), F.lit(1)).cast("bigint")
-    return df.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1)))
+    return _copied(df, copies, "copy")
