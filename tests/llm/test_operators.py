@@ -334,7 +334,7 @@ def test_pipeline_equals_its_rules(spark):
     toxic = {r["doc_id"] for r in Q.op9(spark, folder).filter("predicted = 1").collect()}
     left = {r["doc_id"]: r["text"] for r in table.collect() if r["doc_id"] not in toxic}
     ids = sorted(left)
-    roots = brute_components([shingles(left[i]) for i in ids])
+    roots = brute_components([shingles(left[i], 5) for i in ids], (80, 100))
     left = {i: left[i] for k, i in enumerate(ids) if roots[k] == k}
     kept = spark.createDataFrame(list(left.items()), "doc_id bigint, text string")
     hits = {r["doc_id"] for r in D.decontaminate(kept, Q.table(spark, folder, "benchmark")).collect() if r["hits"]}
