@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from pagespark.llm.folds import bounded_sample, held_out
 from pagespark.llm.textbytes import LOWER, find_words, owners, span_hashes, text_chunks
+from pagespark.session import written
 
 SAMPLE = 20_000  # labelled rows learned from
 FEATURES = 20_000  # features that may get a weight
@@ -174,6 +175,11 @@ def swaps_of(present: set[int], terms: list[list[np.ndarray]]) -> list[tuple[np.
     return out
 
 
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """Where each list begins and ends in the values of all."""
+    return column.offsets.to_numpy(), column.values
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES,
         swap_penalty: float = SWAP_PENALTY, identity=IDENTITY_TERMS) -> Model:
     """Learn from labelled rows outside the held-out fold."""
@@ -224,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
                     pa.array(own, type=pa.list_(pa.int64())), pa.array(swapped, type=pa.list_(pa.list_(pa.int64())))],
                     names=["doc_id", "toxic", "features", "swaps"])
 
-    learned = known.mapInArrow(rows, ROWS_DDL)
+    learned = written(known.mapInArrow(rows, ROWS_DDL), "learned")  # read twice; no task runs two Python workers in a row
     counts = learned.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(
         F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
     lifted = counts.filter((F.col("toxic") / F.col("n")) >= LEAST_PRECISION)
@@ -238,11 +244,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, type=pa.list_(pa.int64())), batch.column(3)],
                                              names=["doc_id", "toxic", "features", "swaps"])
 
-    collected = learned.mapInArrow(narrowed, ROWS_DDL).collect()  # at most `sample` rows of chosen features
+    found = learned.mapInArrow(narrowed, ROWS_DDL).toArrow()  # at most `sample` rows of chosen features, as plain arrays
+    toxic = found["toxic"].to_numpy()
+    features_at, own = _lists(found["features"].combine_chunks())
+    swaps_at, swaps = _lists(found["swaps"].combine_chunks())
+    swap_at, swapped = _lists(swaps)
+    own, swapped = own.to_numpy(), swapped.to_numpy()
     data = []
-    for r in sorted(collected, key=lambda r: (r["doc_id"], len(r["features"]))):
-        flat = [np.array(x, dtype=np.int64) for x in r["swaps"]]
-        data.append((int(r["toxic"] > 0), np.array(r["features"], dtype=np.int64), list(zip(flat[::2], flat[1::2]))))
+    for i in np.lexsort((np.diff(features_at), found["doc_id"].to_numpy())).tolist():
+        flat = [swapped[swap_at[k]:swap_at[k + 1]] for k in range(swaps_at[i], swaps_at[i + 1])]
+        data.append((int(toxic[i] > 0), own[features_at[i]:features_at[i + 1]], list(zip(flat[::2], flat[1::2]))))
     return train(data, chosen, swap_penalty=swap_penalty)
 
 
