@@ -71,6 +71,31 @@ def brute_components(sets, least=(90, 100)):
     return [find(i) for i in range(len(sets))]
 
 
+@pytest.mark.parametrize("limits", [(80, 100), (90, 100), (50, 100)])
+def test_linked_sets_share_a_listed_difference(limits):
+    """A family around a leader: every link of which one end is far from the leader shows up in both lists."""
+    threshold = J.Threshold(*limits)
+    order = J.Order(np.full(1 << (J.BUCKET_BITS - 3), 255, dtype=np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    rng = np.random.default_rng(5)
+    met = 0
+    for n in (1, 2, 3, 7, 20, 60):
+        pool = np.unique(rng.integers(0, 1 << 63, 4 * n + 8).astype(np.uint64))
+        lead = np.sort(pool[:n])
+        family = []
+        for _ in range(70):
+            kept = lead[rng.random(n) > rng.choice([0, 0.05, 0.15, 0.3, 0.6])]
+            own = np.union1d(kept, rng.choice(pool, rng.integers(0, n // 2 + 2)))
+            if len(own):
+                family.append((own, J.difference_prefix(own, lead, order, threshold)))
+        for k, (a, (_, near_a, listed_a)) in enumerate(family):
+            for b, (_, near_b, listed_b) in family[:k]:
+                shared = len(np.intersect1d(a, b))
+                if limits[1] * shared >= limits[0] * (len(a) + len(b) - shared) and not (near_a and near_b):
+                    met += 1
+                    assert set(listed_a.tolist()) & set(listed_b.tolist())
+    assert met > 100
+
+
 @pytest.mark.parametrize("piece", [256, 4])
 def test_jaccard_join_equals_all_pairs(spark, texts, piece, monkeypatch):
     """Pieces of 4 put every long list through the second step."""
