@@ -62,7 +62,7 @@ def item_windows(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE)
                         names=["item_id", "words", "place", "size", "token"])
 
     chosen = items.select(F.col("item_id").cast("bigint"), F.col("text").cast("string"))
-    return chosen.filter("item_id is not null").mapInArrow(cut, WINDOWS_DDL)
+    return chosen.mapInArrow(cut, WINDOWS_DDL)
 
 
 def document_tokens(hashes: np.ndarray, firsts: np.ndarray, sizes: list[int], bitmap: np.ndarray):
