@@ -15,6 +15,9 @@ it look like boilerplate; a host with few pages has nothing removed by importanc
 Counts are summed before the shuffle, so a host may hold any share of the pages; of a page
 only hashes of its blocks meet those of other pages.
 
+Left-out elements without an end tag: scripts and other raw text reach to the end of the page, as in
+browsers; drawings and formulas end before the next block of text; others leave out nothing.
+
 Defined results: null or empty html, or a page without main text, gives an empty text; a null
 url is a host of its own; rows may repeat; an empty table gives no rows. Other columns are not read.
 """
@@ -23,10 +26,12 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +41,13 @@ LEAST_PAGES = 4  # distinct pages of a host from which importance is judged
 LEAST_IMPORTANCE = 0.2
 DAMPING = 0.9  # weight of what stands in a node against how it is filled
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
+# No part of it gives back what it took, and a tag ends before the next "<", so that a page is read once.
+TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>|[^<]++|<""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math")}
+# Where left-out content ends if its end tag is missing: foreign elements end before a block of text.
+FOREIGN = {x: re.compile(rf"</{x}\s*>|<(?:p|div|h[1-6]|[uod]l|table|blockquote|pre|section|article|main)(?=[\s>])|<(foreignobject)\b", re.I) for x in ("svg", "math")}
+UNCLOSED_STAYS = ("noscript", "template", "svg", "math")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset((
     "address article aside blockquote body br-block caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -70,9 +79,27 @@ def _attributes(tag: str, raw: str) -> tuple[str, bool]:
     return names, out
 
 
+def _after_raw(tag: str, page: str, at: int, unclosed: set[str]) -> int:
+    """Where the page goes on after the start tag of an element whose content is left out."""
+    if tag in FOREIGN:
+        m = FOREIGN[tag].search(page, at) if f"<{tag}" not in unclosed else None
+        if m is None:
+            unclosed.add(f"<{tag}")
+            return at
+        if not m[1]:
+            return m.end() if m[0][1] == "/" else m.start()
+    m = RAW[tag].search(page, at) if tag not in unclosed else None
+    if m:
+        return m.end()
+    unclosed.add(tag)  # nor is there one further on
+    return at if tag in UNCLOSED_STAYS else len(page)
+
+
 def blocks_of(page: str) -> list[tuple[str, str]]:
     """(path, text) of the blocks of main text before importance is judged, in page order."""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, step of the path, left out, in an article
+    stack: list[tuple[str, str, bool, bool]] = []  # tag, path as a digest, left out, in an article
+    opened: Counter[str] = Counter()  # tags of the stack, so that it is not searched for what it lacks
+    unclosed: set[str] = set()
     blocks: list[tuple[str, str, bool]] = []
     parts: list[str] = []
     where: tuple[str, bool] | None = None
@@ -88,6 +115,7 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
     def close(upto: int) -> None:
         if any(x[0] in BLOCK for x in stack[upto:]):
             flush()
+        opened.subtract(x[0] for x in stack[upto:])
         del stack[upto:]
 
     at, size = 0, len(page)
@@ -101,13 +129,12 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
                 if stack and stack[-1][2]:
                     continue
                 if where is None and token.strip():
-                    steps = [x[1] for x in stack if x[0] in BLOCK]
-                    where = ("/".join(steps), bool(stack) and stack[-1][3])
+                    where = (stack[-1][1], stack[-1][3]) if stack else ("", False)
                 parts.append(token)
             continue
         tag = tag.lower()
         if m[1]:
-            if tag == "p" or tag not in VOID:
+            if opened[tag] and tag not in VOID:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
                         close(i)
@@ -123,17 +150,17 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
                 flush()
             continue
         if tag in RAW:
-            stop = RAW[tag].search(page, at)
-            at = stop.end() if stop else size
+            if not m[3].rstrip().endswith("/") or tag not in FOREIGN:
+                at = _after_raw(tag, page, at, unclosed)
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
                     close(i)
                     break
                 if stack[i][0] in ("article", "div", "section", "td", "th", "table", "button", "body"):
                     break
-        if tag in SAME_LEVEL:
+        if any(opened[x] for x in SAME_LEVEL.get(tag, ())):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in SAME_LEVEL[tag]:
                     close(i)
@@ -146,15 +173,15 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
         up = stack[-1] if stack else ("", "", False, False)
         article = up[3] or tag in ("article", "main")
         out = up[2] or out or tag in OUTSIDE or tag == "header" and not up[3]
-        stack.append((tag, f"{tag}.{names}" if names else tag, out, article))
+        path = format(_hash(f"{up[1]}/{tag}.{names}") & (1 << 64) - 1, "x") if tag in BLOCK else up[1]
+        stack.append((tag, path, out, article))
+        opened[tag] += 1
     flush()
     inside = [(p, t) for p, t, article in blocks if article]
     return inside or [(p, t) for p, t, _ in blocks]
 
 
 def _hash(text: str) -> int:
-    import xxhash
-
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
