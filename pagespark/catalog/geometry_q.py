@@ -14,13 +14,13 @@ MATRIX = ((0.98, 0.04, 3.5), (-0.02, 1.01, 7.25), (0.00001, 0.00002, 1.0))
 
 
 def _pairs(t):
-    """Each detection with the page-wide image boxes' first one: plain pairs for column functions."""
-    first = t.images.filter(F.col("tag").endswith("|0")).select(*PAGE, *Box.of().columns("o_"))
-    return t.words.join(first, list(PAGE))
+    """Each word with every image of its page: plain pairs for column functions, bounded by a page's images."""
+    images = t.images.select(*PAGE, *Box.of().columns("o_"))
+    return t.words.hint("merge").join(images.hint("merge"), list(PAGE))
 
 
 PAIRS_SQL = """(SELECT w.*, i.l AS ol, i.t AS ot, i.r AS ore, i.b AS ob FROM words w JOIN images i
-  ON w.doc_id = i.doc_id AND w.page_no = i.page_no AND i.tag LIKE '%|0')"""
+  ON w.doc_id = i.doc_id AND w.page_no = i.page_no)"""
 
 
 @query("g1_box_forms", with_tables(
