@@ -3,8 +3,10 @@
 Three patterns are always reported. Beside them, runs of one character class inside long
 unbroken strings are scanned with a sliding window; its entropy is kept up by counts as one
 character enters and one leaves, never computed anew. Windows over the class's threshold
-merge to a span, unless an allow-list pattern matches the string. Of a span that meets a pattern's
-span, what lies outside that one is kept, since a secret may be joined to another.
+merge to a span, unless an allow-list pattern matches the string. A placeholder word does not
+clear what it is joined to: it cuts the string, and its parts are scanned. Of a span that meets a pattern's
+span, what lies outside that one is kept, since a secret may be joined to another; less than
+`REST_LEAST` characters of it are the pattern's delimiters and no secret.
 
 Defined results: a null text is an empty one without spans; spans count code points with an
 exclusive end; rows may repeat; an empty table gives no rows. Other columns are not read.
@@ -31,13 +33,14 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 # Character classes and the entropy, in bits a character, from which a window of 20 counts.
 CLASSES = (("hex", re.compile(r"[0-9a-f]{20,}|[0-9A-F]{20,}"), 3.0), ("base64", re.compile(r"[A-Za-z0-9+/=_-]{20,}"), 3.9))
 NEEDED = (re.compile(r"[0-9]"), re.compile(r"[A-Za-z]"))
-# Strings that look random and are not secrets.
+# Strings that look random and are not secrets: a UUID, and a checksum stated with its name and of just its length.
+DIGESTS = {"md5": 16, "sha1": 20, "sha224": 28, "sha256": 32, "sha384": 48, "sha512": 64}  # bytes
 ALLOWED = (
-    re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I),  # a UUID
-    re.compile(r"(?:[A-Za-z]+[-_/])+[A-Za-z]+"),  # words in a path or identifier
-    re.compile(r"(?:sha|md)[0-9]*-.*", re.I),  # a stated checksum
-    re.compile(r".*(?:example|placeholder|changeme|xxxx).*", re.I),
+    re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I),
+    *(re.compile(rf"(?i:{name})[-_=](?:[0-9A-Fa-f]{{{2 * n}}}|[A-Za-z0-9+/_-]{{{-(-4 * n // 3)}}}={{0,2}})") for name, n in DIGESTS.items()),
 )
+PLACEHOLDER = re.compile(r"example|placeholder|changeme|x{4,}", re.I)
+REST_LEAST = 8
 
 DDL = "doc_id bigint, spans array<struct<start: int, kind: string, stop: int>>"
 _TERM = [0.0, *(c * log2(c) for c in range(1, WINDOW + 1))]
@@ -94,10 +97,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def parts_of(text: str) -> Iterator[tuple[int, str]]:
+    """Start and text of the candidate strings, cut at placeholder words."""
+    for m in CANDIDATE.finditer(text):
+        at = m.start()
+        for word in PLACEHOLDER.finditer(text, m.start(), m.end()):
+            yield at, text[at:word.start()]
+            at = word.end()
+        yield at, text[at:m.end()]
+
+
 def entropy_spans(text: str, allowed=ALLOWED) -> list[tuple[int, int, int]]:
     out = []
-    for m in CANDIDATE.finditer(text):
-        whole = m.group()
+    for first, whole in parts_of(text):
         if not all(p.search(whole) for p in NEEDED) or any(p.fullmatch(whole) for p in allowed):
             continue
         found: list[tuple[int, int]] = []
@@ -106,7 +118,7 @@ def entropy_spans(text: str, allowed=ALLOWED) -> list[tuple[int, int, int]]:
                 if not all(p.search(run.group()) for p in NEEDED):
                     continue
                 for a, b in windows_over(run.group(), threshold):
-                    a, b = m.start() + run.start() + a, m.start() + run.start() + b
+                    a, b = first + run.start() + a, first + run.start() + b
                     found += outside(a, b, found)
         out += [(a, 3, b) for a, b in found]
     return out
@@ -118,7 +130,7 @@ def secrets_in(text: str | None, allowed=ALLOWED) -> list[tuple[int, int, int]]:
         return []
     base = base_spans(text)
     covered = [(a, b) for a, _, b in base]
-    more = [(x, 3, y) for a, _, b in entropy_spans(text, allowed) for x, y in outside(a, b, covered)]
+    more = [(x, 3, y) for a, _, b in entropy_spans(text, allowed) for x, y in outside(a, b, covered) if y - x >= REST_LEAST or (x, y) == (a, b)]
     return sorted(base + more)
 
 

@@ -369,10 +369,94 @@ def test_character_map_equals_the_library(strip):
         assert len(source) == len(text.encode()) + 1 and source[-1] <= len(t.encode()) and (np.diff(source) >= 0).all()
 
 
-def test_op7_digest(spark):
-    row = Q.op7(spark, "/root/testdata/sf0.001").filter("n_hex > 0 and n_entropy = 0").first()
-    if row:
-        assert row["base_sha256"] == hashlib.sha256(row["spans"].encode()).hexdigest()
+def test_op7_digests(spark):
+    """Counts and digests of every row of the table against plain loops over its spans."""
+    folder = "/root/testdata/sf0.001"
+    text = {r["doc_id"]: r["text"] or "" for r in Q.table(spark, folder, "documents").collect()}
+    for r in Q.op7(spark, folder).collect():
+        base = sorted(brute_patterns(text[r["doc_id"]]))
+        names = [f"{E.KINDS[k]}:{a}:{b}" for a, k, b in base]
+        assert r["base_sha256"] == hashlib.sha256(",".join(names).encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == i for _, k, _ in base) for i in range(3)]
+        assert r["spans"] == ",".join(f"{E.KINDS[k]}:{a}:{b}" for a, k, b in brute_secrets(text[r["doc_id"]]))
+
+
+def brute_patterns(text):
+    """The stated patterns, read one place after the other."""
+    found, kinds = [], (
+        (r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8),
+        (r"(AKIA[A-Z0-9]+)", 16), (r"([0-9a-f]+)", 32))
+    for k, (pattern, least) in enumerate(kinds):
+        at = 0
+        while m := re.compile(pattern).search(text, at):
+            found += [(m.start(), k, m.end())] if len(m.group(1)) >= least else []
+            at = m.end()
+    return found
+
+
+def brute_secrets(text):
+    """Every character inside a window over its class's threshold, entropies computed anew; then runs outside the patterns."""
+    base = brute_patterns(text)
+    marks = {}  # place -> class
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        if len(m.group()) < 20:
+            continue
+        cut = re.sub(r"(?i)example|placeholder|changeme|x{4,}", lambda p: " " * len(p.group()), m.group())
+        for part in re.finditer(r"[^ ]+", cut):
+            whole = part.group()
+            if not re.search("[0-9]", whole) or not re.search("[A-Za-z]", whole) or any(p.fullmatch(whole) for p in E.ALLOWED):
+                continue
+            for c, (shape, least) in enumerate(((r"[0-9a-f]{20,}|[0-9A-F]{20,}", 3.0), (r"[A-Za-z0-9+/=_-]{20,}", 3.9))):
+                for run in re.finditer(shape, whole):
+                    if not re.search("[0-9]", run.group()) or not re.search("[A-Za-z]", run.group()):
+                        continue
+                    for i in range(len(run.group()) - 19):
+                        n = Counter(run.group()[i:i + 20])
+                        if -sum(v / 20 * log2(v / 20) for v in n.values()) >= least - 1e-9:
+                            for j in range(i, i + 20):
+                                marks.setdefault(m.start() + part.start() + run.start() + j, (c, m.start() + part.start() + run.start()))
+    runs, covered = [], [(a, b) for a, _, b in base]
+    for place in sorted(marks):
+        if runs and runs[-1][1] == place and runs[-1][2] == marks[place]:
+            runs[-1][1] = place + 1
+        else:
+            runs.append([place, place + 1, marks[place]])
+    more = []
+    for a, b, _ in runs:
+        kept, left = [i for i in range(a, b) if not any(x <= i < y for x, y in covered)], []
+        for i in kept:
+            if left and left[-1][1] == i:
+                left[-1][1] = i + 1
+            else:
+                left.append([i, i + 1])
+        more += [(x, 3, y) for x, y in left if y - x >= 8 or len(kept) == b - a]
+    return sorted(base + more)
+
+
+def test_secret_spans_equal_brute_force():
+    random = np.random.default_rng(11)
+    letters = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base": "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])) + "+/_-", "low": "aab1"}
+    glue = [" ", "-", "/", "=", ".", "example", "_xxxx_", " token: ", "AKIA", "é", "\n", "sha256-"]
+    for _ in range(400):
+        parts = []
+        for _ in range(int(random.integers(1, 7))):
+            kind = str(random.choice(list(letters)))
+            parts += ["".join(random.choice(list(letters[kind]), int(random.integers(1, 45)))), str(random.choice(glue))]
+        text = "".join(parts)
+        assert E.secrets_in(text) == brute_secrets(text), text
+
+
+def test_secrets_joined_to_names_are_found():
+    secret = "aQ3xZ9kLm2Pw8RtYv5Ns7Bc1Df4Gh6Jk"
+    for name in ("md-", "sha-", "example-", "placeholder_", "sha256-"):
+        assert any(secret in f"use {name}{secret} here"[a:b] for a, _, b in E.secrets_in(f"use {name}{secret} here")), name
+    for fine in ("sha256-" + "b1" * 32, "sha512-" + "aB3" * 28 + "aa==", "md5-" + "Ab3Cd5Ef7Gh9Jk2Lm4Np6Q==", "123e4567-e89b-12d3-a456-426614174000"):
+        assert not [k for _, k, _ in E.secrets_in(fine) if k == 3], fine
+    random = np.random.default_rng(12)
+    alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    planted = ["".join(random.choice(alphabet, 40)) for _ in range(300)]
+    found = sum(any(b - a >= 30 for a, _, b in E.secrets_in(f"some words {x} and more")) for x in planted)
+    assert found >= 285  # of random keys of 40 characters outside the patterns
 
 
 def test_pipeline_equals_its_rules(spark):
@@ -401,3 +485,25 @@ def test_near_copies_of_the_pipeline_share_five_words(spark, texts):
     assert roots[-1] == len(many) - 2
     got = corpus_pipeline.near_copies(spark, docs(spark, many), "").collect()
     assert sorted(r["doc_id"] for r in got) == [i for i, root in enumerate(roots) if root == i]
+
+
+@pytest.mark.parametrize("from_files", [False, True])
+def test_pipeline_rows_with_shared_or_no_id(spark, from_files, tmp_path):
+    import corpus_pipeline
+
+    item = " ".join(f"item{i}" for i in range(12))
+    leak, clean = f"before {item} after", " ".join(f"clean{i}" for i in range(30))
+    bench = str(tmp_path / "in")
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{bench}/benchmark.parquet")
+    rows = [(None, leak), (7, leak), (7, clean), (7, clean), (None, clean), (8, None), (8, None), (None, ""), (9, clean + " x"), (3, f"own {item}")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("_metadata_", F.lit(1)).withColumn("gone", F.lit("z"))
+    if from_files:
+        table.write.parquet(str(tmp_path / "docs"))
+        table = spark.read.parquet(str(tmp_path / "docs"))
+    got = corpus_pipeline.benchmark_leaks(spark, table, bench)
+    known = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    assert got.columns == table.columns and known(got) == sorted((r for r in rows if "item1" not in (r[1] or "")), key=str)
+    near = corpus_pipeline.near_copies(spark, table, bench)
+    assert near.columns == table.columns
+    assert known(near) == sorted([(3, f"own {item}"), (7, leak), (7, clean), (8, None), (8, None), (None, "")], key=str)
+    assert corpus_pipeline.near_copies(spark, table.limit(0), bench).count() == corpus_pipeline.benchmark_leaks(spark, table.limit(0), bench).count() == 0
