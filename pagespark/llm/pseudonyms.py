@@ -21,7 +21,7 @@ ROUNDS = 8
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 PHONE = r"(?<![\w(+])(?:\+?\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)"
 PHONE_PLAIN = r"(?<![\w.+-])(?:\+\d{1,3}[ .-])?\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]|\.\d)"
-DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w/-]|\.\d)"
+DATE = r"(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?:(?=T\d{2}:\d{2})|(?![\w/-]|\.\d))"
 IP = r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)"
 CARD = r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w]|\.\d)"
 KINDS = {"email": EMAIL, "phone": f"(?:{PHONE}|{PHONE_PLAIN})", "date": DATE, "ip": IP, "card": CARD}
@@ -164,16 +164,25 @@ def pseudonym(match: Column, key: str, undo: bool = False) -> Column:
     return out
 
 
+def spare(docs: DataFrame, name: str) -> str:
+    """The name, longer where ``docs`` has a column of that name."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def pseudonymise(docs: DataFrame, key: str, undo: bool = False) -> DataFrame:
     """The same rows with personal values exchanged in ``text``, and ``n_replaced`` behind."""
     text = F.col("text").cast("string")
-    marked = docs.drop("n_replaced").withColumn("_found", F.regexp_extract_all(text, F.lit(f"({ANY})"), 1))
+    found, new = spare(docs, "_found"), spare(docs, "_new")
+    marked = docs.drop("n_replaced").withColumn(found, F.regexp_extract_all(text, F.lit(f"({ANY})"), 1))
     changed = marked.withColumn(
-        "_new", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, key, undo))).otherwise(F.col("_found")))
+        new, F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(m, key, undo))).otherwise(F.col(found)))
     joined = F.array_join(
-        F.zip_with(F.split(text, ANY, -1), F.concat(F.col("_new"), F.array(F.lit(""))), lambda part, m: F.concat(part, m)), "")
-    count = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
+        F.zip_with(F.split(text, ANY, -1), F.concat(F.col(new), F.array(F.lit(""))), lambda part, m: F.concat(part, m)), "")
+    count = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))
     return (
-        changed.withColumn("n_replaced", F.when(F.size("_found") > 0, count).otherwise(0).cast("bigint"))
-        .withColumn("text", F.when(F.size("_found") > 0, joined).otherwise(text)).drop("_found", "_new")
+        changed.withColumn("n_replaced", F.when(F.size(found) > 0, count).otherwise(0).cast("bigint"))
+        .withColumn("text", F.when(F.size(found) > 0, joined).otherwise(text)).drop(found, new)
     )
