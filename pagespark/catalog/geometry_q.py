@@ -8,6 +8,7 @@ from pagespark.fixtures.sql import with_tables
 from pagespark.functions import boxes as B
 from pagespark.functions.boxes import Box
 from pagespark.operators.chunks import split_windows
+from pagespark.operators.joins import GROWING
 
 # A mild homography for the warp query.
 MATRIX = ((0.98, 0.04, 3.5), (-0.02, 1.01, 7.25), (0.00001, 0.00002, 1.0))
@@ -74,7 +75,7 @@ def g4(t):
   FROM words JOIN page_dims USING (doc_id, page_no) GROUP BY ALL""", "words", "page_dims"))
 def g5(t):
     padded = B.pad_clip(Box.of(), 7, F.col("w"), F.col("h"))
-    return t.words.join(t.page_dims, list(PAGE)).groupBy(*PAGE).agg(
+    return t.words.join(t.page_dims.hint(GROWING), list(PAGE)).groupBy(*PAGE).agg(
         *[total(c).alias("s_" + s) for c, s in zip(padded.sides, B.SIDES)])
 
 
@@ -101,7 +102,7 @@ def _warp_sql() -> str:
 @query("g7_warp_box", with_tables(_warp_sql(), "words", "page_dims"))
 def g7(t):
     box = B.warp_box(Box.of(), MATRIX, F.col("w"), F.col("h"))
-    return t.words.join(t.page_dims, list(PAGE)).groupBy(*PAGE).agg(
+    return t.words.join(t.page_dims.hint(GROWING), list(PAGE)).groupBy(*PAGE).agg(
         *[total(c).alias("s_" + s) for c, s in zip(box.sides, B.SIDES)])
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagespark.functions.boxes import SIDES
 from pagespark.functions.text import concat_ordered
+from pagespark.operators.joins import GROWING
 from pagespark.operators.pages import by_page, numbers, spans
 
 
@@ -71,7 +72,7 @@ def class_pixels(pages: DataFrame, boxes: DataFrame, page: Sequence[str], width:
     known = boxes.select(*page, *[F.col(c).cast("bigint").alias(c) for c in SIDES]).na.drop(subset=list(SIDES))
     covered = by_page(known, page, page, [], run, "ones bigint", keep=page)
     ones = F.coalesce("ones", F.lit(0)).cast("bigint")
-    return pages.join(covered, list(page), "left").select(
+    return pages.join(covered.hint(GROWING), list(page), "left").select(
         *page, (F.col(width) * F.col(height) - ones).alias("zeros"), ones.alias("ones"))
 
 
@@ -146,7 +147,7 @@ def tall_words(words: DataFrame, line: Sequence[str], k: float = 1.75) -> DataFr
     """Words higher than ``k`` times the median height of their line."""
     height = F.col("bottom") - F.col("top") + 1
     usual = words.groupBy(*line).agg(F.median(height).alias("_usual"))
-    return words.join(usual, list(line)).filter(height > k * F.col("_usual")).drop("_usual")
+    return words.join(usual.hint(GROWING), list(line)).filter(height > k * F.col("_usual")).drop("_usual")
 
 
 def words_per_page(words: DataFrame, page: Sequence[str]) -> DataFrame:

@@ -73,11 +73,11 @@ def boxes_without_overlap(images: DataFrame, words: DataFrame, page: Sequence[st
     near = _tiles(words.select(*page, *[F.col(s).alias("w_" + s) for s in SIDES]), b, tile)
     hit = (
         _tiles(images, Box.of(), tile).alias("i")
-        .join(near.alias("w"), [F.col(f"i.{c}") == F.col(f"w.{c}") for c in (*page, "_tx", "_ty")]
+        .join(near.hint(GROWING).alias("w"), [F.col(f"i.{c}") == F.col(f"w.{c}") for c in (*page, "_tx", "_ty")]
               + [iou(Box.of("i."), Box.of("w.w_")) > 0], "left_semi")
         .select(*key).distinct()
     )
-    return images.join(hit, list(key), "left_anti")
+    return images.join(hit.hint(GROWING), list(key), "left_anti")
 
 
 def adjacent_fragments(words: DataFrame, page: Sequence[str], threshold: float = 0.5) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagespark.operators.joins import GROWING
 from pagespark.session import written
 
 PLACE_MASK = (1 << 33) - 1  # low bits of monotonically_increasing_id: place in partition
@@ -61,7 +62,7 @@ def global_ids(df: DataFrame, group: Sequence[str], order: Sequence[str | Column
     starts = running_total(df.groupBy(*group).agg(F.count("*").alias("_count")), group, "_count", "_first")
     inside = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
     return (
-        df.join(starts.drop("_count"), list(group))
+        df.join(starts.drop("_count").hint(GROWING), list(group))
         .withColumn(column, (F.col("_first") + inside + start).cast("bigint")).drop("_first")
     )
 
@@ -141,4 +142,4 @@ def reading_order(df: DataFrame, page: Sequence[str], order: Sequence[str | Colu
 def batch_padding(df: DataFrame, batch: Sequence[str], width: str, column: str = "pad") -> DataFrame:
     """How much each sample is padded to the widest of its batch."""
     widest = df.groupBy(*batch).agg(F.max(width).alias("_widest"))
-    return df.join(widest, list(batch)).withColumn(column, F.col("_widest") - F.col(width)).drop("_widest")
+    return df.join(widest.hint(GROWING), list(batch)).withColumn(column, F.col("_widest") - F.col(width)).drop("_widest")

@@ -11,6 +11,7 @@ from pagespark.functions.boxes import SIDES, Box, downscale_factor, scale_box, v
 from pagespark.functions.scores import argmax_steps
 from pagespark.functions.text import concat_ordered, decode
 from pagespark.operators.chunks import merge_texts
+from pagespark.operators.joins import GROWING
 from pagespark.operators.joins import assign_first, attach_text, pick_text
 from pagespark.operators.lines import merge_same_row
 
@@ -26,7 +27,7 @@ def assemble_lines(pages: DataFrame, words: DataFrame, texts: DataFrame, scripts
     """Lines of each page from words found on the downscaled page: boxes scaled back, words
     without extent left out of the text, each word with the reading its script chose."""
     factors = pages.select(*page, downscale_factor(F.col("scale_w"), F.col("scale_h"), limit).alias("_factor"))
-    scaled = words.join(factors, list(page))
+    scaled = words.join(factors.hint(GROWING), list(page))
     box = scale_box(Box.of(), F.col("_factor"))
     found = scaled.select(*page, line, key, *box.columns())
     read = attach_text(found.filter(valid_box(Box.of())), pick_text(texts, scripts, [key], only), [key])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagespark.functions.boxes import SIDES, Box, overlap_1d
 from pagespark.functions.text import concat_ordered
 from pagespark.operators.folds import paragraph_boxes, paragraph_runs, reading_bands, rerow_words, x_clusters
+from pagespark.operators.joins import GROWING
 from pagespark.operators.joins import lines_in_paragraph
 from pagespark.operators.suppress import resolve_overlaps
 from pagespark.session import written
@@ -58,16 +59,16 @@ def layout_blocks(lines: DataFrame, words: DataFrame, page: Sequence[str], line:
     placed = written(headers_footers(lines, paragraphs, page, line, compat), "placed")
 
     body = placed.filter(F.col("role") == "body").select(*page, line, "par", "par_left")
-    body_words = words.select(*page, line, key, *SIDES, "text").join(body, [*page, line])
+    body_words = words.select(*page, line, key, *SIDES, "text").join(body.hint(GROWING), [*page, line])
     rows = rerow_words(body_words, [*page, "par", "par_left"], [line, key], ["text"])
     row_lines = rows.groupBy(*page, "par", "par_left", "new_row").agg(
         *_hull(), concat_ordered([F.col("place")], F.col("text"), " ").alias("text"))
     blocks = row_lines.groupBy(*page, "par", "par_left").agg(
         *_hull(), concat_ordered([F.col("top"), F.col("new_row")], F.col("text"), "\n").alias("text"))
     ranks = reading_bands(blocks, page, "par", ["par_left", "par"])
-    main = blocks.join(ranks, [*page, "par"]).select(*page, F.lit("body").alias("role"), "rank", *SIDES, "text")
+    main = blocks.join(ranks.hint(GROWING), [*page, "par"]).select(*page, F.lit("body").alias("role"), "rank", *SIDES, "text")
 
-    told = placed.filter(F.col("role") != "body").join(lines.select(*page, line, "text"), [*page, line])
+    told = placed.filter(F.col("role") != "body").join(lines.select(*page, line, "text").hint(GROWING), [*page, line])
     edges = told.groupBy(*page, "role").agg(*_hull(), concat_ordered(
         [F.col("left"), F.col("moved"), F.col("par_left"), F.col("par"), F.col(line)], F.col("text"), "\n").alias("text"))
     last = F.when(F.col("role") == "footer", F.lit(1 << 40)).otherwise(F.lit((1 << 40) + 1))
