@@ -11,8 +11,7 @@ from pagespark.functions.boxes import SIDES, Box, downscale_factor, scale_box, v
 from pagespark.functions.scores import argmax_steps
 from pagespark.functions.text import concat_ordered, decode
 from pagespark.operators.chunks import merge_texts
-from pagespark.operators.joins import GROWING
-from pagespark.operators.joins import assign_first, attach_text, pick_text
+from pagespark.operators.joins import assign_first, attach_text, looked_up, pick_text
 from pagespark.operators.lines import merge_same_row
 
 
@@ -25,23 +24,24 @@ def page_text(lines: DataFrame, page: Sequence[str], line: str) -> DataFrame:
 def assemble_lines(pages: DataFrame, words: DataFrame, texts: DataFrame, scripts: DataFrame | None, page: Sequence[str],
                    line: str, key: str = "tag", limit: int = 2000, only: str | None = None) -> DataFrame:
     """Lines of each page from words found on the downscaled page: boxes scaled back, words
-    without extent left out of the text, each word with the reading its script chose."""
+    without extent left out of the text, each word with the reading its script chose. Readings and scripts
+    that carry the page meet their words by page and key, so tables dealt out by a part of the page do not move."""
+    paged = all(c in table.columns for c in page for table in (texts, scripts) if table is not None)
+    own = [*page, key] if paged else [key]
     factors = pages.select(*page, downscale_factor(F.col("scale_w"), F.col("scale_h"), limit).alias("_factor"))
-    scaled = words.join(factors.hint(GROWING), list(page))
+    scaled = looked_up(words, factors, page)
     box = scale_box(Box.of(), F.col("_factor"))
     found = scaled.select(*page, line, key, *box.columns())
-    read = attach_text(found.filter(valid_box(Box.of())), pick_text(texts, scripts, [key], only), [key])
-    together = read.repartition(*page)
+    read = attach_text(found.filter(valid_box(Box.of())), pick_text(texts, scripts, own, only), own)
     order = [F.col("left"), F.col(key)]
-    return together.groupBy(*page, line).agg(
+    return read.groupBy(*page, line).agg(
         F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"),
         concat_ordered(order, F.col("text"), " ").alias("text"), F.count("*").alias("n_words"))
 
 
 def assemble_pages(pages: DataFrame, words: DataFrame, texts: DataFrame, scripts: DataFrame | None, page: Sequence[str],
                    line: str, key: str = "tag", limit: int = 2000, only: str | None = None) -> DataFrame:
-    """Page texts. Words move to their page's partition once; lines and pages are both
-    put together there."""
+    """Page texts: words are put together to lines, lines to pages."""
     lines = assemble_lines(pages, words, texts, scripts, page, line, key, limit, only)
     order = [(F.col("top") + F.col("bottom")) / 2, F.col(line)]
     return lines.groupBy(*page).agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from pagespark.fixtures.tables import spread
+from pagespark.operators.joins import looked_up
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -17,7 +18,7 @@ def moved(df):
     return [line for line in re.findall(r"Exchange (.*)", plan) if "REPARTITION_BY_NUM" not in line]
 
 
-@pytest.mark.parametrize("name", ["j9_merge_chunks"])
+@pytest.mark.parametrize("name", ["j9_merge_chunks", "p15_assemble_pages"])
 def test_words_stay_with_their_document(spark, name):
     assert moved(entry.queries()[name](spark, FOLDER)) == []
 
@@ -28,3 +29,13 @@ def test_partitions_grow_with_the_documents(spark):
     assert spread(docs, "doc_id").rdd.getNumPartitions() == least
     assert spread(docs, "doc_id", per_part=20).rdd.getNumPartitions() == 50
     assert spread(docs, "doc_id", per_part=20).agg(F.count_distinct("doc_id")).first()[0] == 1000
+
+
+@pytest.mark.parametrize("how, want", [("inner", [(1, "a", "x"), (1, "a", "x"), (2, "b", None)]),
+                                       ("left", [(1, "a", "x"), (1, "a", "x"), (2, "b", None), (3, "c", None), (None, "d", None)])])
+def test_lookup_is_a_join_by_key(spark, how, want):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "c"), (None, "d")], "id bigint, word string")
+    known = spark.createDataFrame([(1, "x"), (2, None), (4, "y"), (None, "z")], "id bigint, text string")
+    found = looked_up(rows, known, ["id"], how)
+    assert found.columns == ["id", "word", "text"]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
