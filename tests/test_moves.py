@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from pagespark.fixtures.tables import spread
 from pagespark.operators.joins import looked_up
+from pagespark.operators.lines import chain_heads
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -18,7 +19,7 @@ def moved(df):
     return [line for line in re.findall(r"Exchange (.*)", plan) if "REPARTITION_BY_NUM" not in line]
 
 
-@pytest.mark.parametrize("name", ["j9_merge_chunks", "p15_assemble_pages", "j11_pick_text"])
+@pytest.mark.parametrize("name", ["j9_merge_chunks", "p15_assemble_pages", "j11_pick_text", "p12_merge_fragments"])
 def test_words_stay_with_their_document(spark, name):
     assert moved(entry.queries()[name](spark, FOLDER)) == []
 
@@ -39,3 +40,17 @@ def test_lookup_is_a_join_by_key(spark, how, want):
     found = looked_up(rows, known, ["id"], how)
     assert found.columns == ["id", "word", "text"]
     assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 17, 64])
+def test_chains_of_a_page_have_one_head(spark, n):
+    edges = spark.createDataFrame([(p, i, i + 1) for p in (1, 2) for i in range(n)], "page bigint, a bigint, b bigint")
+    found = {(r["page"], r["node"]): (r["head"], r["steps"]) for r in chain_heads(edges, ["page"], "a", "b").collect()}
+    assert found == {(p, i): (0, i) for p in (1, 2) for i in range(1, n + 1)}
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 5])
+def test_a_cycle_of_pieces_raises(spark, n):
+    edges = spark.createDataFrame([(1, i, (i + 1) % n) for i in range(n)], "page bigint, a bigint, b bigint")
+    with pytest.raises(Exception, match="cycle"):
+        chain_heads(edges, ["page"], "a", "b").collect()
