@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from pagespark.fixtures.tables import spread
+from pagespark.catalog.tables_q import page_documents, page_images
+from pagespark.fixtures.tables import Tables, spread
 from pagespark.operators.joins import looked_up
 from pagespark.operators.lines import chain_heads
 
@@ -24,6 +25,17 @@ def test_words_stay_with_their_document(spark, name):
     assert moved(entry.queries()[name](spark, FOLDER)) == []
 
 
+@pytest.fixture
+def tables(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large to send
+    yield Tables(spark, FOLDER)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_page_documents_are_built_where_their_words_are(tables):
+    assert moved(page_documents(tables)) == [] and moved(page_images(tables)) == []
+
+
 def test_partitions_grow_with_the_documents(spark):
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = spark.range(1000).withColumnRenamed("id", "doc_id")
