@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from pagespark.catalog.tables_q import page_documents, page_images
+from pagespark.catalog.tables_q import layout_documents, page_documents, page_images
 from pagespark.fixtures.tables import Tables, spread
 from pagespark.operators.joins import looked_up
 from pagespark.operators.lines import chain_heads
@@ -33,7 +33,7 @@ def tables(spark):
 
 
 def test_page_documents_are_built_where_their_words_are(tables):
-    assert moved(page_documents(tables)) == [] and moved(page_images(tables)) == []
+    assert moved(page_documents(tables)) == [] and moved(page_images(tables)) == [] and moved(layout_documents(tables)) == []
 
 
 def test_partitions_grow_with_the_documents(spark):
