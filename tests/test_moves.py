@@ -20,7 +20,7 @@ def moved(df):
     return [line for line in re.findall(r"Exchange (.*)", plan) if "REPARTITION_BY_NUM" not in line]
 
 
-@pytest.mark.parametrize("name", ["j9_merge_chunks", "p15_assemble_pages", "j11_pick_text", "p12_merge_fragments", "j8_recognition_samples"])
+@pytest.mark.parametrize("name", ["j9_merge_chunks", "p15_assemble_pages", "j11_pick_text", "p12_merge_fragments", "j8_recognition_samples", "p16_decode_wide"])
 def test_words_stay_with_their_document(spark, name):
     assert moved(entry.queries()[name](spark, FOLDER)) == []
 
@@ -66,3 +66,12 @@ def test_a_cycle_of_pieces_raises(spark, n):
     edges = spark.createDataFrame([(1, i, (i + 1) % n) for i in range(n)], "page bigint, a bigint, b bigint")
     with pytest.raises(Exception, match="cycle"):
         chain_heads(edges, ["page"], "a", "b").collect()
+
+
+def test_score_rows_are_a_constant(spark):
+    """No step's scores are put together row by row; the character set is that of all words."""
+    t = Tables(spark, FOLDER)
+    plan = t.char_scores.select("tag", "scores")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_repeat(") == 1  # the steps of a character, not its scores
+    words = t.words.select(F.explode(F.split("word", "")).alias("c")).distinct().collect()
+    assert t.charset == "".join(sorted(r["c"] for r in words))
