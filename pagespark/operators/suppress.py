@@ -11,11 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagespark.functions.boxes import SIDES, Box, min_area, min_side
-from pagespark.operators.joins import suppression_pairs
 from pagespark.operators.pages import by_page, group_starts, numbers, spans
 
 
-def _losers(keys: list, others: list, areas: np.ndarray, other_areas: np.ndarray) -> dict:
+def _losers(keys: list, others: list, areas: Sequence[int], other_areas: Sequence[int]) -> dict:
     """Boxes visited in key order; each still there meets its partners in key order: a
     smaller partner goes, a partner at least as large makes the visited one go. Each
     box that goes is given with a pair it is in: (row, whether it is the first)."""
@@ -39,25 +38,50 @@ def _losers(keys: list, others: list, areas: np.ndarray, other_areas: np.ndarray
 
 
 def suppress_overlaps(boxes: DataFrame, page: Sequence[str], key: str, threshold: float = 0.5) -> DataFrame:
-    """Boxes left after size-based suppression. Only boxes that overlap another by enough
-    of the smaller one go through the greedy step, as pairs."""
-    a, b = Box.of(), Box.of("o_")
-    pairs = suppression_pairs(boxes.select(*page, key, *SIDES), page, key, threshold).select(
-        *page, F.col(key).alias("key"), F.col("o_" + key).alias("other"), a.area.alias("area"), b.area.alias("other_area"))
+    """Boxes left after size-based suppression. Only boxes that overlap another by enough of the smaller one go through
+    the greedy step, as pairs. They are paired inside their page, so no box moves for it."""
+
     def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
-        keys, others = table["key"].to_pylist(), table["other"].to_pylist()
-        areas, other_areas = numbers(table, "area", "other_area")
-        rows, names = [], []
+        whole = np.ones(table.num_rows, dtype=bool)  # what has no page, key or side meets nothing
+        for name in (*page, key, *SIDES):
+            whole &= table[name].is_valid().to_numpy()
+        stays = np.ones(table.num_rows, dtype=bool)
         for start, end in spans(starts, table.num_rows):
-            gone = _losers(keys[start:end], others[start:end], areas[start:end], other_areas[start:end])
-            names += gone
-            rows += [start + row for row in gone.values()]
-        out = table.select(list(page)).take(pa.array(rows, pa.int64()))
-        return out.append_column("key", pa.array(names, table.schema.field("key").type))
-
-    kind = boxes.schema[key].dataType.simpleString()
-    gone = by_page(pairs, page, page, ["key", "other"], run, f"key {kind}", keep=page)
-    return boxes.join(gone.withColumnRenamed("key", key), [*page, key], "left_anti")
+            rows = start + np.flatnonzero(whole[start:end])
+            own = table.take(pa.array(rows))
+            boxes = np.stack(numbers(own, *SIDES), axis=1)
+            a, b = _overlapping(boxes, threshold)
+            if not len(a):
+                continue
+            names, areas = own[key].to_pylist(), _areas(boxes).tolist()
+            pairs = [(i, j) if names[i] < names[j] else (j, i) for i, j in zip(a.tolist(), b.tolist()) if names[i] != names[j]]
+            pairs.sort(key=lambda pair: (names[pair[0]], names[pair[1]]))
+            gone = _losers([names[i] for i, _ in pairs], [names[j] for _, j in pairs],
+                           [areas[i] for i, _ in pairs], [areas[j] for _, j in pairs])
+            stays[rows[[i for i, name in enumerate(names) if name in gone]]] = False
+        return table.filter(pa.array(stays))
+
+    return by_page(boxes, page, page, ["top", "left", key], run)
+
+
+def _areas(boxes: np.ndarray) -> np.ndarray:
+    return np.maximum(boxes[:, 2] - boxes[:, 0] + 1, 0) * np.maximum(boxes[:, 3] - boxes[:, 1] + 1, 0)
+
+
+def _overlapping(boxes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a page's boxes, sorted by top, that overlap by enough of the smaller one. A box is
+    compared with those that start no lower than it ends."""
+    n = len(boxes)
+    counts = np.maximum(np.searchsorted(boxes[:, 1], boxes[:, 3], side="right") - np.arange(n) - 1, 0)
+    a = np.repeat(np.arange(n), counts)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(counts) - counts, counts)
+    beside = (boxes[a, 0] <= boxes[b, 2]) & (boxes[b, 0] <= boxes[a, 2])
+    a, b = a[beside], b[beside]
+    first, second = boxes[a], boxes[b]
+    meet = (first[:, 1] <= second[:, 3]) & (second[:, 1] <= first[:, 3])
+    shared = _areas(np.hstack([np.maximum(first[:, :2], second[:, :2]), np.minimum(first[:, 2:], second[:, 2:])]))
+    enough = meet & (shared >= threshold * np.minimum(_areas(first), _areas(second)))
+    return a[enough], b[enough]
 
 
 DECISIONS = {

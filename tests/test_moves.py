@@ -82,3 +82,26 @@ def test_samples_do_not_move(spark, tables, name):
     """Addresses are joined to documents, before the words of a document are rows."""
     plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[:plan.index("Generate")]
+
+
+def work(spark, name):
+    """(exchanges apart from dealing documents out, folds over arrays, joins) of a query's plan."""
+    done = entry.queries()[name](spark, FOLDER)
+    plan = done._jdf.queryExecution()
+    return len(moved(done)), plan.optimizedPlan().toString().count("aggregate("), plan.executedPlan().toString().count("Join ")
+
+
+@pytest.mark.parametrize("name", ["p4_suppress", "p4_suppress_doubles"])
+def test_boxes_of_a_page_are_paired_where_they_are(spark, tables, name):
+    """Only a row a page moves; the one fold sets words in rows."""
+    assert work(spark, name) == (1, 1, 0)
+
+
+def test_boxes_without_a_page_or_a_key_stay(spark):
+    from pagespark.operators.suppress import suppress_overlaps
+    rows = [(1, "a", 0), (1, "b", 0), (None, "c", 0), (None, "d", 0), (2, None, 0), (2, "e", 0), (3, "f", None)]
+    boxes = spark.createDataFrame(rows, "page bigint, tag string, left bigint").selectExpr(
+        "*", "0L AS top", "9L AS right", "9L AS bottom")
+    left = suppress_overlaps(boxes, ["page"], "tag")
+    assert left.columns == boxes.columns
+    assert sorted((r["tag"] or "") for r in left.collect()) == ["", "b", "c", "d", "e", "f"]
