@@ -105,3 +105,10 @@ def test_boxes_without_a_page_or_a_key_stay(spark):
     left = suppress_overlaps(boxes, ["page"], "tag")
     assert left.columns == boxes.columns
     assert sorted((r["tag"] or "") for r in left.collect()) == ["", "b", "c", "d", "e", "f"]
+
+
+@pytest.mark.parametrize("name, moves", [("p2_split_sublines", 2), ("p2_split_sublines_loose", 1), ("p3_absorb_lines", 2),
+                                         ("w4_paragraph_runs", 1), ("p14_label_layout", 2)])
+def test_lines_and_runs_are_no_folds_over_arrays(spark, tables, name, moves):
+    """The one fold sets words in rows."""
+    assert work(spark, name) == (moves, 1, 0)
