@@ -112,3 +112,10 @@ def test_boxes_without_a_page_or_a_key_stay(spark):
 def test_lines_and_runs_are_no_folds_over_arrays(spark, tables, name, moves):
     """The one fold sets words in rows."""
     assert work(spark, name) == (moves, 1, 0)
+
+
+@pytest.mark.parametrize("name, moves, folds", [("p6_paragraph_boxes", 0, 1), ("p7_headers_footers", 1, 1), ("p7_headers_footers_compat", 1, 1),
+                                                ("p10_extract_layout", 5, 2), ("p10_layout_blocks", 4, 2)])
+def test_layout_looks_at_lines_once(spark, tables, name, moves, folds):
+    """Folds: words set in rows, and bands of a page's blocks."""
+    assert work(spark, name) == (moves, folds, 0)
