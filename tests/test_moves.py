@@ -119,3 +119,26 @@ def test_lines_and_runs_are_no_folds_over_arrays(spark, tables, name, moves):
 def test_layout_looks_at_lines_once(spark, tables, name, moves, folds):
     """Folds: words set in rows, and bands of a page's blocks."""
     assert work(spark, name) == (moves, folds, 0)
+
+
+def test_word_samples_meet_their_page_where_they_are(tables):
+    from pagespark.catalog.tables_q import paged_samples, word_documents
+    for df in (paged_samples(tables), word_documents(tables)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan[:plan.index("Generate")] and "Join " not in plan[:plan.index("Generate")]
+
+
+def test_an_image_tree_looks_at_the_words_once(tables):
+    from pagespark.catalog.tables_q import image_tree
+    plan = image_tree(tables)._jdf.queryExecution()
+    assert moved(image_tree(tables)) == [] and plan.optimizedPlan().toString().count("aggregate(") == 1
+
+
+def test_shards_are_written_from_written_rows(tables, monkeypatch):
+    """Neither version of the shards joins samples and places again."""
+    from pagespark.catalog import tables_q
+    rows = []
+    monkeypatch.setattr(tables_q.shards, "write_shards", lambda df, path: rows.append(df))
+    monkeypatch.setattr(tables_q.shards, "read_shards", lambda *a: None)
+    tables_q.s12_written(tables)
+    assert len(rows) == 2 and all(moved(df) == [] and "Scan parquet" in df._jdf.queryExecution().executedPlan().toString() for df in rows)
