@@ -157,3 +157,9 @@ def test_labels_of_filters_are_labels_of_views(spark):
     want = script_labels({n: rows.filter(k) for n, k in keep.items()}, "file")
     assert got.columns == want.columns and got.dtypes == want.dtypes
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_each_augmentation_is_drawn_once(spark):
+    from pagespark.catalog.tables_q import AUGMENT
+    plan = entry.queries()["n6_plan_augmentations"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == len(AUGMENT)
