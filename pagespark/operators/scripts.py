@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,7 +90,11 @@ def language_scores(counts: DataFrame, key: str, model: DataFrame, most: int = M
         F.sum(F.col("n") * F.log(F.col("m") + 1.0)).alias("known"))
     scored = base.join(known, [key, "lang"], "left").select(
         key, "lang", (F.col("base") + F.coalesce("known", F.lit(0.0))).alias("ll"))
-    arrays = scored.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("lang", "ll"))).alias("s"))
+    return _softmax(scored.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("lang", "ll"))).alias("s")), key)
+
+
+def _softmax(arrays: DataFrame, key: str) -> DataFrame:
+    """``scores`` as probabilities from ``s``, an array of struct(lang, ll)."""
     top = F.array_max(F.transform("s", lambda x: x["ll"]))
     powers = F.transform("s", lambda x: F.struct(x["lang"].alias("lang"), F.exp(x["ll"] - top).alias("e")))
     whole = F.aggregate(F.col("p"), F.lit(0.0), lambda a, x: a + x["e"])
@@ -96,6 +102,89 @@ def language_scores(counts: DataFrame, key: str, model: DataFrame, most: int = M
         key, F.transform("p", lambda x: F.struct(x["lang"].alias("lang"), (x["e"] / whole).alias("prob"))).alias("scores"))
 
 
+PAIR_CHARS = 1 << 18  # characters whose pairs are looked up together; a longer text is handled alone
+
+
+def _pairs(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, end text, pairs, text of each pair from 0) of runs of texts; a pair is two code points in one number."""
+    sizes = np.cumsum([0, *(len(t or "") for t in texts)])
+    first = 0
+    while first < len(texts):
+        end = max(first + 1, int(np.searchsorted(sizes, sizes[first] + PAIR_CHARS, side="right")) - 1)
+        codes = np.frombuffer("".join(t or "" for t in texts[first:end]).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+        own = np.repeat(np.arange(end - first), np.diff(sizes[first:end + 1]))
+        inside = own[1:] == own[:-1]
+        yield first, end, ((codes[:-1] << 32) | codes[1:])[inside], own[1:][inside]
+        first = end
+
+
+def bigram_model(texts: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
+    """(lang, gram, n) of all texts. A task counts its texts' pairs run by run, so what moves are sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = np.array(batch.column(0).to_pylist(), dtype=object)
+            for first, end, pairs, own in _pairs(batch.column(1).to_pylist()):
+                for name in set(names[first:end]):
+                    found, n = np.unique(pairs[np.array([x == name for x in names[first:end]])[own]], return_counts=True)
+                    grams = [chr(c >> 32) + chr(c & 0xFFFFFFFF) for c in found.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams), type=pa.string()), pa.array(grams, type=pa.string()), pa.array(n, type=pa.int64())],
+                                                     names=["lang", "gram", "n"])
+
+    told = texts.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    return told.mapInArrow(run, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def text_language_scores(texts: DataFrame, key: str, model: DataFrame, text: str = "text", most: int = MODEL_GRAMS) -> DataFrame:
+    """``language_scores`` of whole texts: the pairs of a text are looked up where the text is and never become rows.
+    Texts without a pair have no row; rows that share a key count as one text."""
+    model = written(model.select("lang", "gram", "n"), "model")
+    if model.limit(most + 1).count() > most:
+        raise ValueError(f"a model of two-letter sequences has at most {most} rows")
+    rows = model.toArrow()
+    langs = sorted(set(rows["lang"].to_pylist()), key=lambda x: (x is not None, x))
+    at = {x: i for i, x in enumerate(langs)}
+    lang, n = np.array([at[x] for x in rows["lang"].to_pylist()], dtype=np.int64), rows["n"].to_numpy().astype(np.int64)
+    grams = np.array([(ord(g[0]) << 32) | ord(g[1]) for g in rows["gram"].to_pylist()], dtype=np.int64)
+    order = np.argsort(grams, kind="stable")
+    codes, firsts = np.unique(grams[order], return_index=True)
+    totals = np.bincount(lang, n, minlength=len(langs))
+    weights = np.where(lang == at.get(None, -1), 0.0, np.log(n + 1.0))[order]  # no pair is known to be of no language
+    sent = texts.sparkSession.sparkContext.broadcast((codes, np.append(firsts, len(grams)), lang[order], weights))
+    count = len(langs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, firsts, lang, weights = sent.value
+        for batch in batches:
+            for first, end, pairs, own in _pairs(batch.column(1).to_pylist()):
+                length = np.bincount(own, minlength=end - first)
+                known = np.zeros((end - first, count))
+                if len(codes):
+                    place = np.minimum(np.searchsorted(codes, pairs), len(codes) - 1)
+                    hit = codes[place] == pairs
+                    place, texts_of = place[hit], own[hit]
+                    met = np.flatnonzero(np.bincount(place, minlength=len(codes)))
+                    each = firsts[met + 1] - firsts[met]  # languages that know a pair
+                    entry = np.repeat(firsts[met] - np.cumsum(each) + each, each) + np.arange(each.sum())
+                    table = np.zeros((count, len(met)))
+                    table[lang[entry], np.repeat(np.arange(len(met)), each)] = weights[entry]
+                    rank = np.searchsorted(met, place) if len(met) * 8 < len(codes) else (np.cumsum(np.bincount(met, minlength=len(codes))) - 1)[place]
+                    for k in range(count):
+                        known[:, k] = np.bincount(texts_of, table[k][rank], minlength=end - first)
+                some = np.flatnonzero(length)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * count, type=pa.int32()), pa.array(known[some].ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first).take(pa.array(some)), pa.array(length[some], type=pa.int64()), lists],
+                                                 names=[key, "length", "known"])
+
+    told = texts.select(key, F.col(text).cast("string").alias("text"))
+    kind = told.schema[key].dataType.simpleString()
+    found = told.mapInArrow(run, f"`{key}` {kind}, length bigint, known array<double>")
+    summed = found.groupBy(key).agg(F.sum("length").alias("length"), *[F.sum(F.get("known", k)).alias(f"_k{k}") for k in range(count)])
+    bases = np.log(totals + len(codes)).tolist()
+    parts = [F.struct(F.lit(x).cast("string").alias("lang"), (F.col(f"_k{k}") - F.col("length") * F.lit(bases[k])).alias("ll")) for k, x in enumerate(langs)]
+    return _softmax(summed.select(key, (F.array(*parts) if parts else F.array().cast("array<struct<lang:string,ll:double>>")).alias("s")), key)
+
+
 def contrast_stretch(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Spread the values of each image and channel over 0..255."""
     span = df.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
