@@ -8,7 +8,8 @@ from pagespark.fixtures.sql import with_tables
 from pagespark.functions import boxes as B
 from pagespark.functions.boxes import Box
 from pagespark.operators.chunks import split_windows
-from pagespark.operators.joins import GROWING
+from pagespark.operators.joins import GROWING, sent_if_few
+from pagespark.session import written
 
 # A mild homography for the warp query.
 MATRIX = ((0.98, 0.04, 3.5), (-0.02, 1.01, 7.25), (0.00001, 0.00002, 1.0))
@@ -138,14 +139,16 @@ _RESIZE_BODY, _RESIZE_PLANS = _resize_sql()
     extra="sized AS MATERIALIZED (SELECT doc_id, page_no, r-l+1 AS w, 10 + (l+t) % 70 AS h FROM words),\n"
           f"d AS MATERIALIZED (SELECT DISTINCT w, h FROM sized),\nplans AS MATERIALIZED ({_RESIZE_PLANS})"))
 def g8(t):
-    """All methods for every word size; summed per page."""
+    """All methods for every word size; summed per page. A size is planned once, and words meet their size's plans as one row."""
     sized = t.words.select(*PAGE, (F.col("right") - F.col("left") + 1).alias("w"),
                            (10 + (F.col("left") + F.col("top")) % 70).alias("h"))
-    plans = F.array(*[
-        F.struct(F.lit(m).alias("method"), B.resize_plan(F.col("h"), F.col("w"), m).alias("plan")) for m in B.RESIZE_METHODS])
-    rows = sized.select(*PAGE, F.explode(plans).alias("p"))
-    return rows.groupBy(*PAGE, "p.method").agg(
-        *[total(f"p.plan.{c}").alias(c) for c in ("height", "width", "pad_right", "pad_bottom")])
+    plans = [B.resize_plan(F.col("h"), F.col("w"), m).alias(m) for m in B.RESIZE_METHODS]
+    known = written(sized.select("w", "h").distinct().select("w", "h", *plans), "plans")
+    columns = ("height", "width", "pad_right", "pad_bottom")
+    sums = sized.join(sent_if_few(known), ["w", "h"]).groupBy(*PAGE).agg(
+        *[total(f"{m}.{c}").alias(f"{m}_{c}") for m in B.RESIZE_METHODS for c in columns])
+    rows = F.array(*[F.struct(F.lit(m).alias("method"), *[F.col(f"{m}_{c}").alias(c) for c in columns]) for m in B.RESIZE_METHODS])
+    return sums.select(*PAGE, F.explode(rows).alias("r")).select(*PAGE, "r.*")
 
 
 @query("g9_pyramid_side", with_tables(f"""
