@@ -59,3 +59,38 @@ def test_drawn_words_do_not_move_the_slots(spark, most):
     plan = drawn._jdf.queryExecution().executedPlan().toString()
     assert ("SortMergeJoin" in plan) == (most == 0)
     assert plan_of(replaced).count("Join ") == 1  # words are not looked up again by their key
+
+
+def test_coding_passes_over_padding_and_looks_through_one_text(spark):
+    from pagespark.functions.text import decode, encode
+
+    rows = [("hello",), ("",), ("lol!",), (None,), ("oo€😀",)]
+    df = spark.createDataFrame(rows, "w string").select("w", encode(F.col("w"), "helo€😀", 6).alias("c"))
+    got = df.select("w", "c", decode(F.col("c"), "helo€😀").alias("p"), decode(F.col("c"), "helo€😀", "collapse").alias("k")).collect()
+    assert [(r["w"], r["c"], r["p"], r["k"]) for r in got] == [
+        ("hello", [0, 1, 2, 2, 3, 6], "hello", "helo"), ("", [6] * 6, "", ""), ("lol!", [2, 3, 2, -1, 6, 6], "lol", "lol"),
+        (None, None, None, None), ("oo€😀", [3, 3, 4, 5, 6, 6], "oo€😀", "o€😀")]
+    blank_between = spark.sql("SELECT array(2L, 6L, 2L, 2L, 6L) AS c").select(decode(F.col("c"), "helo€😀", "collapse").alias("k"))
+    assert blank_between.first()["k"] == "ll"  # a blank still parts equal letters
+    plan = plan_of(df.select(decode(F.col("c"), "helo€😀")))
+    assert "array_position" not in plan and "array_remove" in plan
+
+
+def test_a_size_is_planned_once(spark):
+    import __spark_entry__
+
+    plan = plan_of(__spark_entry__.queries()["g8_resize_plan"](spark, FOLDER))
+    assert plan.count("Generate explode(array(") == 1 and plan.index("Generate") < plan.index("Aggregate")  # a page, not a word, is told by method
+    assert "48.0" not in plan  # words hold no plan of their own, they meet their size's
+
+
+def test_a_saved_view_is_written_small(spark, tmp_path):
+    from pagespark.sources.samples import load_view, save_view
+
+    rows = spark.range(20000).select(F.concat(F.col("id"), F.lit("|4|11")).alias("tag"), F.concat(F.col("id"), F.lit("|4|11.png")).alias("file"), (F.col("id") % 2).alias("part"))
+    save_view(rows, str(tmp_path / "view"), {"language": "french"}, ["part"])
+    rows.write.partitionBy("part").option("compression", "snappy").parquet(str(tmp_path / "plain"))
+    size = lambda name: sum(p.stat().st_size for p in (tmp_path / name).rglob("*.parquet"))
+    assert size("view/rows") < 0.8 * size("plain")
+    back, settings = load_view(spark, str(tmp_path / "view"))
+    assert settings == {"language": "french"} and sorted(map(tuple, back.select("tag", "file", "part").collect())) == sorted(map(tuple, rows.collect()))
