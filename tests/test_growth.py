@@ -94,3 +94,17 @@ def test_a_saved_view_is_written_small(spark, tmp_path):
     assert size("view/rows") < 0.8 * size("plain")
     back, settings = load_view(spark, str(tmp_path / "view"))
     assert settings == {"language": "french"} and sorted(map(tuple, back.select("tag", "file", "part").collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_texts_move_once_for_their_address(spark):
+    from pagespark.fixtures.tables import Tables
+
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where there are many addresses
+    try:
+        plan = Tables(spark, FOLDER).samples._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    moved = [x for x in plan.split("\n") if "Exchange hashpartitioning(page_id" in x]
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "ShuffledHashJoin [doc_id" in plan
+    assert moved and all("text" not in x for x in moved)
