@@ -33,9 +33,10 @@ def coco_images(pages: DataFrame, page: Sequence[str], file_name: Column) -> Dat
 
 
 def _annotations(boxes: DataFrame, images: DataFrame, page: Sequence[str], order: Sequence[str]) -> DataFrame:
-    ids = global_ids(boxes, page, order, "id", start=1)
+    listed = images.groupBy(*page).agg(F.collect_list("id").alias("_images"))  # a page stands once, as a rule
+    ids = global_ids(boxes, page, order, "id", start=1, known=listed)
     box = Box.of()
-    return ids.join(images.select(*page, F.col("id").alias("image_id")), list(page)).select(
+    return ids.withColumn("image_id", F.explode("_images")).select(
         *page, "id", "image_id", "category_id", _segmentation(box).alias("segmentation"), _bbox(box).alias("bbox"), "text")
 
 

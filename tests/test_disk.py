@@ -56,3 +56,25 @@ def test_near_copies_leave_few_tables(spark):
     left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
     assert not left & {"rows", "lists", "sets", "classes", "placed", "open", "near", "joint", "differences"}
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {i: i // 2 * 2 for i in range(20)}
+
+
+def test_rows_dealt_out_by_document_are_numbered_where_they_lie(spark):
+    from pagespark.operators.order import global_ids
+    from pagespark.sources.coco import coco_detection
+
+    rows = [(d, p, k, 10 * k) for d in (3, 1, 2) for p in (1, 0) for k in range(3)] + [(None, 0, 0, 0), (1, None, 5, 1)]
+    df = spark.createDataFrame(rows, "doc bigint, page bigint, k bigint, left bigint")
+    whole = sorted(r[:3] for r in rows if None not in r[:2])
+    want = {key: i + 2 for i, key in enumerate(whole)}  # groups without a whole key count, come first and have no rows
+    for given, moved in ((df.repartition(6, "doc"), False), (df, True)):
+        ids = global_ids(given, ["doc", "page"], ["k"])
+        got = {(r["doc"], r["page"], r["k"]): r["id"] for r in ids.collect()}
+        assert got == want
+        plan = ids._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in plan) == moved
+    box = df.select("doc", "page", F.col("k").cast("string").alias("tag"), "left", F.lit(0).alias("top"), F.col("left").alias("right"), F.lit(1).alias("bottom"))
+    words = box.withColumn("word", F.lit("w")).repartition(6, "doc")
+    pages = spark.createDataFrame([(1, 0, 5, 5), (1, 1, 5, 5), (3, 1, 5, 5), (3, 1, 5, 5)], "doc bigint, page bigint, h bigint, w bigint")  # one is there twice
+    images, found = coco_detection(pages, words, box, ["doc", "page"], "tag", F.lit("f"))
+    of_image = sorted((r["image_id"], r["category_id"], r["bbox"][0]) for r in found.collect())
+    assert of_image == [(i, c, 10 * k) for i in (1, 2, 3, 4) for c in (1, 2) for k in range(3)]
