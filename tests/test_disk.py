@@ -3,6 +3,7 @@
 import glob
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagespark.llm import jaccard as J
@@ -78,3 +79,43 @@ def test_rows_dealt_out_by_document_are_numbered_where_they_lie(spark):
     images, found = coco_detection(pages, words, box, ["doc", "page"], "tag", F.lit("f"))
     of_image = sorted((r["image_id"], r["category_id"], r["bbox"][0]) for r in found.collect())
     assert of_image == [(i, c, 10 * k) for i in (1, 2, 3, 4) for c in (1, 2) for k in range(3)]
+
+
+@pytest.mark.parametrize("name", ["s1_read_word_samples", "s2_read_page_samples", "s3_read_layout_samples", "s4_read_light", "s5_list_images"])
+def test_sample_files_are_there_a_part_at_a_time(spark, monkeypatch, name):
+    import __spark_entry__
+    from pagespark.catalog import tables_q
+
+    there = []
+    drop = tables_q.remove_folder
+
+    def counted(session, path):
+        there.append(sum(len(names) for _, _, names in os.walk(path.removeprefix("file:"))))
+        drop(session, path)
+        assert not os.path.exists(path.removeprefix("file:"))
+
+    monkeypatch.setattr(tables_q, "remove_folder", counted)
+    query = __spark_entry__.queries()[name]
+    whole = sorted(map(str, query(spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(tables_q, "ROUND_CHARS", 1 << 18)
+    parts = sorted(map(str, query(spark, "/root/testdata/sf0.001").collect()))
+    assert whole and parts == whole
+    assert len(there) > 2 and sum(there[1:]) == there[0] and max(there[1:]) < 0.8 * there[0]
+
+
+def test_executors_list_what_spark_lists(spark, tmp_path):
+    from pagespark.sources.samples import list_files, read_documents
+
+    for name in ("run 1/é/a.png", "run 1/b%c/data.json", "x/detection_data/data.json", "x/_gone/data.json", "x/.y/data.json", "x/k=_1/data.json", "x/empty.png", "_SUCCESS", "top.png"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("" if "empty" in name else f'{{"n": "{name}"}}')
+    (tmp_path / "none").mkdir()
+    for pattern in ("*", "data.json", "*.png"):
+        plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(str(tmp_path))
+        want = {(r["p"], r["length"]) for r in plain.select(F.col("_metadata.file_path").alias("p"), "length").collect()}
+        listed = list_files(spark, str(tmp_path), pattern)
+        assert {tuple(r) for r in listed.collect()} == want and len(want) >= 2
+        assert not [f for f in listed.inputFiles() if "data.json" in f]  # the driver holds no names
+    documents = read_documents(spark, f"file:{tmp_path}", "detection_data").collect()
+    assert [(r["path"], r["value"]) for r in documents] == [(f"file:{tmp_path}/x/detection_data/data.json", '{"n": "x/detection_data/data.json"}')]
